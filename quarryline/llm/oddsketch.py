@@ -3,8 +3,9 @@
 A document's set is that of its word shingles.  MinHash samples in bands find
 candidates; an odd sketch, the parity bitmap of the samples, estimates by the
 population count of two sketches' XOR how many samples differ, which is precise
-at high similarity; what passes is confirmed on the full sets.  Links then give
-connected components.
+at high similarity.  A second odd sketch, of the whole set, has a bit for each
+element in the symmetric difference at most, so it rules pairs out for certain.
+What passes is confirmed on the full sets.  Links then give connected components.
 
 Nothing grows with the square of a group: equal sets are one representative, and
 each bucket links its members to a centre only.  Where members of a bucket are
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from .common import Memo, batches, body, save, texts_of
 from .components import components
 
-#: Bands times rows of MinHash; at a similarity of 0.8 a pair shares no band with probability 1e-7.
-BANDS, ROWS = 40, 5
+#: Bands times rows of MinHash; at a similarity of 0.8 a pair shares no band with probability 3e-6.
+BANDS, ROWS = 32, 5
 #: Bits of an odd sketch.
 BITS = 512
 #: Pairs at ``SLACK`` below the threshold by their sketches still are confirmed.
 SLACK = 0.2
-#: A bucket with more members takes centres round by round rather than all pairs.
+#: Bits of the odd sketch of a whole set.
+WHOLE = 1024
+#: A bucket with more members is split, or takes centres round by round, rather than comparing all pairs.
 SMALL = 24
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,36 +81,38 @@ class Sketcher:
         rng = np.random.Generator(np.random.PCG64(11))
         self.bands, self.rows, self.bits = bands, rows, bits
         n = bands * rows
-        self.mul = (rng.integers(0, 1 << 62, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        self.mul = rng.integers(0, 1 << 31, (2, n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.salt = np.arange(n, dtype=np.uint64) * _GOLD
 
     def minima(self, found: np.ndarray) -> np.ndarray:
         """The samples: under each hash function the least value."""
-        out = np.full(len(self.mul), np.uint64(0xFFFFFFFFFFFFFFFF))
-        step = 2048
-        for k in range(0, len(found), step):
-            part = found[k : k + step]
-            h = np.multiply.outer(self.mul, part)
-            h += self.add[:, None]
-            h ^= h >> np.uint64(32)
-            h *= _GOLD
+        low = (found >> np.uint64(32)).astype(np.uint32)
+        out = np.full(self.mul.shape[1], np.uint32(0xFFFFFFFF))
+        for k in range(0, len(low), 256):
+            h = low[None, k : k + 256] * self.mul[0]
+            h ^= h >> np.uint32(15)
+            h *= self.mul[1]
             np.minimum(out, h.min(axis=1), out=out)
-        return out
+        return out.astype(np.uint64)
 
-    def sketch(self, found: np.ndarray) -> tuple[list[int], list[int]]:
+    @staticmethod
+    def _parity(at: np.ndarray, bits: int) -> list[int]:
+        odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+        return np.packbits(odd).view(">i8").astype(np.int64).tolist()
+
+    def sketch(self, found: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Band keys, the samples' odd sketch, the whole set's odd sketch."""
         low = self.minima(found)
         keys = np.zeros(self.bands, np.uint64)
         for r in range(self.rows):
             keys = _mix(keys * _GOLD + low[r :: self.rows])
         keys = _mix(keys + np.arange(self.bands, dtype=np.uint64))
-        at = (_mix(low + self.salt) % np.uint64(self.bits)).astype(np.int64)
-        parity = (np.bincount(at, minlength=self.bits) & 1).astype(np.uint8)
-        return keys.view(np.int64).tolist(), np.packbits(parity).view(">i8").astype(np.int64).tolist()
+        at = _mix(low + self.salt) % np.uint64(self.bits)
+        return keys.view(np.int64).tolist(), self._parity(at, self.bits), self._parity(found % np.uint64(WHOLE), WHOLE)
 
     def most_differing(self, similarity: float) -> int:
         """The XOR population count that a pair of this similarity has on average."""
-        differ = 2 * len(self.mul) * (1 - similarity)
+        differ = 2 * len(self.salt) * (1 - similarity)
         return int(self.bits / 2 * (1 - np.exp(-2 * differ / self.bits)))
 
 
@@ -117,30 +122,31 @@ def set_key(found: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """row key ``id``, n, key1, key2, bands, odd for every row of docs (id, text)."""
+    """id, n, key1, key2, bands, odd, whole for every row of docs (id, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher()
         for b in batches(it):
-            n, k1, k2, bands, odd = [], [], [], [], []
+            n, k1, k2, bands, odd, whole = [], [], [], [], [], []
             for text in texts_of(b.column("text")):
                 found = shingle_set(text, k)
                 n.append(len(found))
                 x, y = set_key(found)
                 k1.append(x)
                 k2.append(y)
-                p, q = s.sketch(found) if len(found) else ([], [])
+                p, q, r = s.sketch(found) if len(found) else ([], [], [])
                 bands.append(p)
                 odd.append(q)
+                whole.append(r)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, longs), pa.array(odd, longs)], names=["id", "n", "key1", "key2", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, longs), pa.array(odd, longs), pa.array(whole, longs)], names=["id", "n", "key1", "key2", "bands", "odd", "whole"])
 
-    return docs.mapInArrow(run, "id long, n long, key1 long, key2 long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, "id long, n long, key1 long, key2 long, bands array<long>, odd array<long>, whole array<long>")
 
 
-def _differing(a: str, b: str) -> Column:
+def _differing(a: str, b: str, bits: int = BITS) -> Column:
     """Population count of the XOR of two sketches."""
-    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64)))
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -181,24 +187,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 2, percent: i
     same = table.where("n > 0 and id is not null").select("id", "n", "key1", "key2").join(reps, ["key1", "key2"])
     same = save(same.select("id", "n", "rep", "rows"), "same")
     nodes = table.join(same.where("id = rep").select(F.col("id").alias("rep_id")).distinct(), table.id == F.col("rep_id"), "left_semi").where("n > 0").dropDuplicates(["id", "key1", "key2"])
-    nodes = nodes.select("id", "n", "bands", "odd")
-    member = nodes.select("id", "n", "odd", F.explode("bands").alias("band"))
+    nodes = nodes.select("id", "n", "bands", "odd", "whole")
+    member = nodes.select("id", F.explode("bands").alias("band"))
     most = Sketcher().most_differing(percent / 100 - SLACK)
     fits = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (_differing("odd", "co") <= most)
-
-    counts = member.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = save(member.select("id", "band").join(counts, "band"), "shared")
-    light = nodes.select("id", "n", "odd")
+    # two sets at the threshold differ in (100 - percent) / (100 + percent) of their elements
+    fits &= (100 + percent) * _differing("whole", "cw", WHOLE) <= (100 - percent) * (F.col("n") + F.col("cn"))
+
+    counts = member.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = save(member.select("id", "band").join(counts, "band"), "members")
+    # the centre is the member that shares its buckets with most others, which of a text and its copies is the text
+    weight = shared.groupBy("id").agg(F.sum("members").alias("weight"))
+    centres = shared.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("x"))
+    shared = save(shared.join(centres.select("band", (-F.col("x.minus")).alias("centre")), "band"), "shared")
+    light = nodes.select("id", "n", "odd", "whole")
     star = shared.where("id <> centre").select("id", "centre").distinct()
 
     def looked_at(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (id, centre) that lengths and sketches let pass, as (a, b)."""
-        near = light.select(F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("odd").alias("co"))
-        return pairs.join(light, "id").join(near, "centre").where(fits).select(F.col("id").alias("a"), F.col("centre").alias("b"))
+        """Those of the pairs (id, centre) that lengths and sketches let pass, as (a, b) with their difference."""
+        near = light.select(F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("odd").alias("co"), F.col("whole").alias("cw"))
+        found = pairs.join(light, "id").join(near, "centre").where(fits)
+        return found.select(F.col("id").alias("a"), F.col("centre").alias("b"), _differing("odd", "co").alias("far"))
 
     passed = save(looked_at(star), "passed")
-    # first each one's link to its least centre, then only those across components
-    nearest = passed.groupBy("a").agg(F.min("b").alias("b"))
+    # first each one's link to the centre most like it, then only those across components
+    nearest = passed.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = save(confirmed(nearest, src, k, percent), "links")
     labels = save(components(links), "labels")
 
@@ -226,13 +239,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 2, percent: i
         bad = lab.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         return lab.join(bad, "band", "left_semi")
 
-    rest = save(divided(shared.where("members > 2").select("id", "band", "members", "centre"), labels).select("id", "band", "members", "centre", "label"), "rest")
-    left = rest.where(f"members <= {SMALL}").where("id <> centre").select("id", "band", "label")
-    pairs = left.join(left.select(F.col("id").alias("other"), "band", F.col("label").alias("ol")), "band").where("id > other and label <> ol").select("id", F.col("other").alias("centre")).distinct()
-    links, labels = add(looked_at(pairs), links, labels)
-
-    # large buckets: further centres, twice as many each round, until each member but those of one component has been one
-    large = save(divided(rest.where(f"members > {SMALL}").select("id", "band", F.expr("id = centre").alias("done")), labels), "large")
+    def all_across(rows: DataFrame) -> DataFrame:
+        """Pairs (id, centre) of the rows (id, band, label) in one bucket but different components."""
+        other = rows.select(F.col("id").alias("centre"), "band", F.col("label").alias("home"))
+        return rows.join(other, "band").where("id > centre and label <> home").select("id", "centre").distinct()
+
+    rest = save(divided(shared.where("members > 2").select("id", "band", "members"), labels), "rest")
+    links, labels = add(looked_at(all_across(rest.where(f"members <= {SMALL}"))), links, labels)
+
+    # large buckets: a bucket for each two that a member is in; near-duplicates share ten of 32 on average
+    large = divided(rest.where(f"members > {SMALL}").select("id", "band"), labels)
+    own = large.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")).where("size(bands) > 1")
+    twos = F.expr("flatten(transform(sequence(0, size(bands) - 2), i -> transform(slice(bands, i + 2, size(bands)), y -> xxhash64(bands[i], y))))")
+    finer = own.select("id", F.explode(twos).alias("band"))
+    sizes = finer.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    finer = save(divided(finer.join(sizes, "band"), labels), "finer")
+    links, labels = add(looked_at(all_across(finer.where(f"members <= {SMALL}"))), links, labels)
+
+    # what is still large: further centres, twice as many each round, until each member but those of one component has been one
+    large = save(divided(finer.where(f"members > {SMALL}").select("id", "band", F.lit(False).alias("done")), labels), "large")
     many = 4
     while not large.isEmpty():
         # the next centres are of the components that aren't the bucket's largest
