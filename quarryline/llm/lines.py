@@ -4,9 +4,11 @@ Text is wrapped into lines at its newlines and at sentence starts.  Hashes of
 two lines in a row are winnowed: of every two neighbouring ones the lesser is a
 fingerprint, so a run of three equal lines shares at least one; a line of
 ``LONG`` words or more is a fingerprint by itself.  Fingerprints are joined to
-their first occurrence, which aligns two documents at an offset; the match is
-extended both ways as far as the lines agree.  Runs of ``min_words`` words or more
-are deleted where they come later, in the order of doc_id and place.
+their first occurrence, which aligns two documents at an offset.  Where a block of
+``BLOCK`` lines has three fingerprints at one offset, or some of ``SURE`` words
+together, the match is extended both ways as far as the lines agree, by up to
+``REACH`` lines beyond the block.  Runs of ``min_words`` words or more are deleted
+where they come later, in the order of doc_id and place.
 
 Everything is DataFrame expressions.  A fingerprint is joined to one first
 occurrence, never to all others, so a passage in a third of all documents makes
@@ -22,14 +24,19 @@ from .common import body, save
 
 #: A line begins after a newline, after a sentence's end and a space, and at a capital letter after a space.
 CUT = r"(?<=\n)|(?<=[.!?]\s)|(?<=\s)(?=\p{Lu})"
+#: The same places by what stands before them, which is faster to look for; needs a mark that isn't in the text.
+ENDS, MARK = r"[.!?]\s|\s(?=\p{Lu})|\n", "\x01"
 #: Words in a line that is a fingerprint alone.
 LONG = 25
 MIN_WORDS = 40
+#: Lines of a block, how far a match is followed beyond it, and words of fingerprints that are worth it.
+BLOCK, REACH, SURE = 64, 40, 20
 _BLANK = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
-    return F.split(text, CUT, -1)
+    marked = F.split(F.regexp_replace(text, ENDS, f"$0{MARK}"), MARK, -1)
+    return F.when(F.instr(text, MARK) > 0, F.split(text, CUT, -1)).otherwise(marked)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,34 +53,46 @@ def _units(keyed: DataFrame) -> DataFrame:
     return lines.select("d", "th", F.transform("u", lambda x: F.xxhash64(x)).alias("h"), F.transform("u", words).alias("w"))
 
 
+def _blocks(units: DataFrame, to: int) -> DataFrame:
+    """d, th, block, start, h, w: the lines from ``REACH`` before a block's first to ``to`` after it."""
+    each = F.expr(f"transform(sequence(0, (size(h) - 1) div {BLOCK}), b -> cast(b as int))")
+    rows = units.select("d", "th", "h", "w", F.explode(each).alias("block")).withColumn("start", F.expr(f"greatest(0, {BLOCK} * block - {REACH})"))
+    part = lambda c: F.expr(f"slice({c}, start + 1, {BLOCK} * block + {to} - start)")
+    return rows.select("d", "th", "block", "start", part("h").alias("h"), part("w").alias("w"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th and ``runs``, an array of [from, to) line numbers to delete, of the rows that have any."""
     units = save(_units(_keyed(docs)), "units")
-    grams = units.select("d", "h", "w", F.expr("if(size(h) > 1, transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1])), cast(array() as array<bigint>))").alias("g"))
-    marks = grams.select("d", F.expr(f"""
-        concat(
-          filter(transform(g, (x, i) -> named_struct('fp', x, 'pos', i)),
+    # g is bound in a lambda: as a column it could be put in its place and then be made anew for each element
+    marks = units.select("d", F.expr(f"""
+        transform(array(if(size(h) > 1, transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1])), cast(array() as array<bigint>))), g -> concat(
+          filter(transform(g, (x, i) -> named_struct('fp', x, 'pos', i, 'words', w[i] + w[i + 1])),
                  s -> size(g) = 1 or coalesce(s.fp <= get(g, s.pos - 1), false) or coalesce(s.fp <= get(g, s.pos + 1), false)),
-          filter(transform(h, (x, i) -> named_struct('fp', x, 'pos', i)), s -> w[s.pos] >= {LONG}))
+          filter(transform(h, (x, i) -> named_struct('fp', x, 'pos', i, 'words', w[i])), s -> s.words >= {LONG})))[0]
     """).alias("marks"))
-    marks = marks.select("d", F.explode("marks").alias("m")).select("d", "m.fp", "m.pos")
+    # outer, as else the planner makes each array a second time to filter empty ones
+    marks = marks.select("d", F.explode_outer("marks").alias("m")).select("d", "m.*").where("pos is not null")
     # the first occurrence as one number, which the aggregation can keep in place
     wide = F.col("d").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
     first = marks.groupBy("fp").agg(F.min(wide.cast("decimal(38,0)")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select("fp", F.expr("cast(floor(x / 4294967296) as bigint)").alias("fd"), F.expr("cast(pmod(x, 4294967296) as int)").alias("fpos"))
-    pairs = marks.join(first, "fp").where("d <> fd or pos > fpos").select("d", "fd", (F.col("fpos") - F.col("pos")).alias("off")).distinct()
-    own, other = units, units.select(F.col("d").alias("fd"), F.col("h").alias("fh"))
-    both = pairs.join(own, "d").join(other, "fd")
-    runs = both.select("d", "th", F.explode(F.expr(f"""
+    pairs = marks.join(first, "fp").where("d <> fd or pos > fpos").groupBy("d", "fd", (F.col("fpos") - F.col("pos")).alias("off"), F.expr(f"pos div {BLOCK}").cast("int").alias("block"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).where(f"n >= 3 or words >= {SURE}")
+    pairs = pairs.select("d", "fd", "off", "block", F.expr(f"greatest(0, cast(floor(({BLOCK} * block + off) / {BLOCK}) as int))").alias("fblock"))
+    own = _blocks(units, BLOCK + REACH)
+    other = _blocks(units, 2 * BLOCK + REACH).select(F.col("d").alias("fd"), F.col("block").alias("fblock"), F.col("start").alias("fstart"), F.col("h").alias("fh"))
+    both = pairs.join(own, ["d", "block"]).join(other, ["fd", "fblock"])
+    runs = both.select("d", "th", F.explode_outer(F.expr(f"""
         aggregate(sequence(0, size(h)),
           named_struct('from', 0, 'words', 0, 'out', cast(array() as array<struct<from: int, to: int>>)),
-          (a, i) -> if(i < size(h) and coalesce(get(h, i) = get(fh, i + off), false),
+          (a, i) -> if(i < size(h) and coalesce(get(h, i) = get(fh, start + i + off - fstart), false),
             named_struct('from', a.from, 'words', a.words + get(w, i), 'out', a.out),
             named_struct('from', i + 1, 'words', 0, 'out',
-              if(a.words >= {int(min_words)}, array_append(a.out, named_struct('from', a.from, 'to', i)), a.out))),
+              if(a.words >= {int(min_words)}, array_append(a.out, named_struct('from', start + a.from, 'to', start + i)), a.out))),
           a -> a.out)
     """)).alias("r"))
-    return runs.groupBy("d", "th").agg(F.collect_set("r").alias("runs"))
+    return runs.where("r is not null").groupBy("d", "th").agg(F.collect_set("r").alias("runs"))
 
 
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:

@@ -30,12 +30,12 @@ def parsed(messages: DataFrame) -> DataFrame:
     )))
     # a level-0 line "... wrote:" just before a quote only says whose it is
     lines = lines.withColumn("lines", F.expr("""
-        transform(lines, (x, i) -> if(x.level = 0 and x.body rlike '(?i)\\\\bwrote:$' and coalesce(get(lines, i + 1).level, 0) > 0,
-                                      named_struct('level', -1, 'body', ''), x))"""))
+        transform(array(lines), l -> transform(l, (x, i) -> if(x.level = 0 and x.body rlike '(?i)\\\\bwrote:$' and coalesce(get(l, i + 1).level, 0) > 0,
+                                                               named_struct('level', -1, 'body', ''), x)))[0]"""))
     joined = F.expr("""
-        array_join(transform(lines, (x, i) -> concat(
-          if(i > 0 and coalesce(get(lines, i - 1).level = x.level and get(lines, i - 1).body <> '' and x.body <> '', false), ' ',
-             concat(char(1), cast(x.level as string), char(2))), x.body)), '')""")
+        array_join(transform(array(lines), l -> transform(l, (x, i) -> concat(
+          if(i > 0 and coalesce(get(l, i - 1).level = x.level and get(l, i - 1).body <> '' and x.body <> '', false), ' ',
+             concat(char(1), cast(x.level as string), char(2))), x.body)))[0], '')""")
     cut = lines.withColumn("found", F.split(joined, "\x01", -1))
     passages = F.expr(r"""
         filter(transform(found, (p, i) -> named_struct(
