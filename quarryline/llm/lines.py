@@ -97,9 +97,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:
     """The keyed rows with ``u``, their lines, and ``gone``, whether each is deleted (null: none is)."""
-    keyed = _keyed(docs)
+    keyed = _keyed(docs).drop("text")  # it is in the row; twice through the shuffle would be too much
     found = repeated_runs(docs, min_words)
-    joined = keyed.join(found, ["d", "th"], "left").withColumn("u", F.when(F.col("runs").isNotNull(), _lines(F.col("text"))))
+    joined = keyed.join(found, ["d", "th"], "left").withColumn("text", body("row.text")).withColumn("u", F.when(F.col("runs").isNotNull(), _lines(F.col("text"))))
     return joined.withColumn("gone", F.expr("transform(u, (x, i) -> exists(runs, r -> i >= r.from and i < r.to))"))
 
 
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, removed_lines, removed_chars, kept_chars, kept_sha256 of every row."""
-    rows = _marked(docs, min_words).select("row", "text", F.expr(_KEPT).alias("kept"), F.expr("coalesce(size(filter(gone, x -> x)), 0)").alias("n"))
+    rows = _marked(docs.select("doc_id", "text"), min_words).select("row", "text", F.expr(_KEPT).alias("kept"), F.expr("coalesce(size(filter(gone, x -> x)), 0)").alias("n"))
     return rows.select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("removed_lines"),
         (F.length("text") - F.length("kept")).cast("long").alias("removed_chars"), F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"),
