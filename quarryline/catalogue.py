@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import extract, graph, merge, rules
+from .operators import extract, graph, merge, review, rules
+from .sources import rulefiles
 from .streaming import progress
 
 QUERIES: dict = {}
@@ -386,3 +387,117 @@ def event_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.windowed(_t(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- rule files and review -------------------------------------------------------
+
+_LINE = """'alert tcp $HOME any -> ' || p_size || ' any (msg:"' || p_name || '; (x)"; content:"|41|"; metadata:signature_severity Major, mitre_technique_id T' || (1000 + p_size) || '; sid:' || p_partkey || '; rev:2;)'"""
+
+
+@query("""SELECT p_partkey AS rule, 'alert' AS action, 'alert tcp $HOME any -> ' || p_size || ' any' AS header, p_name || '; (x)' AS msg, CAST(p_partkey AS VARCHAR) AS sid, 'high' AS severity,
+'T' || (1000 + p_size) AS technique, CAST(5 AS INT) AS options, sha256('tcp $HOME any -> ' || p_size || ' any' || chr(10) || 'content:"|41|"') AS dedup_key FROM part""")
+def suricata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule"), F.expr(_LINE).alias("line"))
+    rows = rulefiles.suricata_rules(lines)
+    return rows.select("rule", "action", "header", "msg", "sid", "severity", F.array_join("techniques", ",").alias("technique"), F.size("options").alias("options"), "dedup_key")
+
+
+_YARA = """'import "pe"\\n// rule no {\\nrule r' || p_partkey || ' : a b { meta: author = "' || p_name || '"\\n ref = "T1059"\\n strings: $a = "x} ' || p_name || '" $b = { 9C 5? }\\n condition: any of them }\\nprivate rule p { condition: true }'"""
+
+
+@query("""SELECT 'r' || p_partkey AS name, 'a,b' AS tags, p_name AS author, 'T1059' AS technique, 'x} ' || p_name AS first_string, '9C 5?' AS second_string, 'any of them' AS "condition", 'pe' AS imports FROM part""")
+def yara_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rulefiles.yara_rules(_t(spark, sf_dir, "part").select(F.lit("f").alias("path"), F.expr(_YARA).alias("content")))
+    strings = F.col("strings")
+    return rows.select(
+        "name", F.array_join("tags", ",").alias("tags"), F.col("meta")["author"].alias("author"), F.array_join("techniques", ",").alias("technique"), strings[0]["value"].alias("first_string"),
+        strings[1]["value"].alias("second_string"), "condition", F.array_join("imports", ",").alias("imports"),
+    )
+
+
+_SIGMA = """'title: ' || p_name || '\\nid: s' || p_partkey || '\\nlevel: High\\ntags: [attack.t1059.001, attack.execution]\\nlogsource: {product: Windows}\\ndetection: {s: {Image: a}, condition: s}\\n---\\ntitle: none\\n'"""
+
+
+@query("SELECT 's' || p_partkey AS sigma_id, p_name AS title, 'high' AS level, 'windows' AS product, 'T1059.001' AS technique FROM part")
+def sigma_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rulefiles.sigma_rules(_t(spark, sf_dir, "part").select(F.lit("f").alias("path"), F.expr(_SIGMA).alias("content")))
+    return rows.select("sigma_id", "title", "level", "product", F.array_join("techniques", ",").alias("technique"))
+
+
+@query(f"""SELECT DISTINCT 'ipv4-addr' AS kind, value, '[ipv4-addr:value = ''' || value || ''']' AS pattern FROM ({_IPV4}) UNION ALL
+SELECT DISTINCT 'email-addr', value, '[email-addr:value = ''' || value || ''']' FROM ({_EMAIL}) UNION ALL
+SELECT DISTINCT 'hash', value, '[file:hashes.' || CASE length(value) WHEN 64 THEN '''SHA-256''' WHEN 40 THEN '''SHA-1''' ELSE 'MD5' END || ' = ''' || value || ''']' FROM ({_HASH})""")
+def stix_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"ipv4": "ipv4-addr", "email": "email-addr", "hash": "hash"}
+    found = extract.indicators(_t(spark, sf_dir, "documents").select("doc_id", "text")).where(F.col("kind").isin(*kinds))
+    rows = found.select(F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("kind")].alias("kind"), "value").distinct()
+    return rows.select("kind", "value", review.stix_pattern(F.col("kind"), F.col("value")).alias("pattern"))
+
+
+@query(f"""SELECT DISTINCT doc_id, "class", value FROM (SELECT doc_id, 'email' "class", value FROM ({_EMAIL}) UNION ALL SELECT doc_id, 'domain', split_part(value, '@', -1) FROM ({_EMAIL}))""")
+def observable_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.observables(_kind(spark, sf_dir, "email").withColumn("kind", F.lit("email")), "doc_id")
+
+
+@query(r"SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[/?#].*$', ''), ':[0-9]*$', '')) AS host FROM pages")
+def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", review.url_host(F.col("url")).alias("host"))
+
+
+_EDGE_SQL = """SELECT CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END accepted, l_discount * 10 confidence,
+CASE WHEN l_linestatus = 'F' THEN 'inferred' WHEN l_linenumber = 1 THEN 'observed' WHEN l_linenumber < 4 THEN 'reported' END label FROM lineitem"""
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_EDGE_SQL.replace("FROM lineitem", "FROM {t}"), t=_t(spark, sf_dir, "lineitem"))
+
+
+@query(f"""SELECT label, coalesce(CAST(accepted AS VARCHAR), 'pending') AS accepted, auto, count(*) AS n FROM (SELECT coalesce(label, '(unlabelled)') label, accepted, accepted IS NULL AND (coalesce(label, '') = 'observed'
+OR (round(confidence * 100) >= 90 AND coalesce(label, '') NOT IN ('gap', 'inferred'))) auto FROM ({_EDGE_SQL})) GROUP BY ALL""")
+def auto_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reviewed(spark, sf_dir).withColumn("auto", review.auto_accepted(F.col("accepted"), F.col("label"), F.col("confidence")))
+    return rows.groupBy(F.coalesce("label", F.lit("(unlabelled)")).alias("label"), F.coalesce(F.col("accepted").cast("string"), F.lit("pending")).alias("accepted"), "auto").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT coalesce(label, '(unlabelled)') AS label, count(*) AS n FROM ({_EDGE_SQL}) WHERE coalesce(accepted, true) GROUP BY 1")
+def label_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.census(_reviewed(spark, sf_dir).where(review.visible(F.col("accepted"))), "label", "(unlabelled)")
+
+
+@query("""WITH v AS (SELECT user_id, event_type h, count(DISTINCT event_id // 3) n FROM events GROUP BY ALL),
+r AS (SELECT user_id, h, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h DESC) rn, coalesce(lead(n) OVER (PARTITION BY user_id ORDER BY n DESC, h DESC), 0) n2 FROM v)
+SELECT user_id, CASE WHEN n >= 2 AND n >= 2 * n2 THEN h ELSE 'multi' END AS platform FROM r WHERE rn = 1""")
+def platform_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.platform(_t(spark, sf_dir, "events").select("user_id", F.expr("event_id div 3").alias("display"), "event_type"), "user_id", "display", "event_type")
+
+
+@query("""SELECT conv_id, turn, md5(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS around
+FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)""")
+def sentence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    return review.around(rows, "conv_id", "turn", "text", 1).select("conv_id", "turn", F.md5("around").alias("around"))
+
+
+@query("""SELECT o_orderstatus AS scope, CASE WHEN n = total THEN 'all' WHEN n = 0 THEN 'none' ELSE 'some' END AS state, n AS selected, bytes FROM (SELECT o_orderstatus, count(*) total,
+count(*) FILTER (o_orderpriority <> '1-URGENT') n, CAST(coalesce(sum(o_custkey) FILTER (o_orderpriority <> '1-URGENT'), 0) AS BIGINT) bytes FROM orders GROUP BY 1)""")
+def selection_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders")
+    return review.selection(rows.withColumnRenamed("o_orderstatus", "scope"), "scope", rows.where("o_orderpriority = '1-URGENT'"), "o_orderkey", "o_custkey")
+
+
+@query("""SELECT c_custkey, coalesce(n_nationkey, -1) AS src_id, coalesce(r_regionkey, -1) AS tgt_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON r_name = c_mktsegment""")
+def endpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    edges = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.upper("n_name").alias("src"), F.col("c_mktsegment").alias("tgt"))
+    nodes = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("id")).unionByName(region.select(F.col("r_name").alias("value"), F.col("r_regionkey").alias("id")))
+    return review.resolved(edges, nodes, "value", "id").select("c_custkey", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("src_id", "tgt_id")])
+
+
+@query("SELECT lower(p_type) AS surface, CASE WHEN min(p_brand) = max(p_brand) THEN min(p_brand) END AS p_brand FROM part GROUP BY 1")
+def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.ambiguous_aliases(_t(spark, sf_dir, "part"), "p_type", "p_brand")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 60000 THEN 5000 WHEN length(text) > 30000 THEN 4000 ELSE 3000 END AS chunk FROM documents")
+def adaptive_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", review.chunk_size(F.length("text")).alias("chunk"))
