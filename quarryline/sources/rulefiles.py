@@ -182,7 +182,7 @@ def parse_sigma(text: str) -> list[dict]:
         related = [{"id": str(r["id"]), "type": str(r.get("type") or "")} for r in d.get("related") or [] if isinstance(r, dict) and r.get("id")] if isinstance(d.get("related"), list) else []
         same = json.dumps([plain(source), plain(d["detection"])], sort_keys=True)
         out.append({
-            "sigma_id": str(d.get("id") or hashlib.sha256(text.encode()).hexdigest()[:16]), "title": str(d["title"]), "level": str(d.get("level") or "unknown").lower(),
+            "sigma_id": str(d.get("id") or hashlib.sha256(json.dumps(d, sort_keys=True, default=str).encode()).hexdigest()[:16]), "title": str(d["title"]), "level": str(d.get("level") or "unknown").lower(),
             **{k: str(source[k]).lower() if source.get(k) else "" for k in ("product", "service", "category")},
             "techniques": sorted({t[7:].upper() for t in tags if re.fullmatch(rf"attack\.{TECHNIQUE}", t, re.I)}), "related": related,
             "detection": json.dumps(d["detection"], sort_keys=True, default=str), "dedup_key": hashlib.sha256(same.encode()).hexdigest(),
