@@ -36,7 +36,7 @@ BITS = 512
 SLACK = 0.2
 #: Bits of the odd sketch of a whole set.
 WHOLE = 1024
-#: A bucket with more members is split, or takes centres round by round, rather than comparing all pairs.
+#: A bucket with more members takes centres round by round, rather than comparing all pairs.
 SMALL = 24
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -247,18 +247,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 2, percent: i
     rest = save(divided(shared.where("members > 2").select("id", "band", "members"), labels), "rest")
     links, labels = add(looked_at(all_across(rest.where(f"members <= {SMALL}"))), links, labels)
 
-    # large buckets: a bucket for each two that a member is in; near-duplicates share ten of 32 on average
-    large = divided(rest.where(f"members > {SMALL}").select("id", "band"), labels)
-    own = large.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")).where("size(bands) > 1")
-    twos = F.expr("flatten(transform(sequence(0, size(bands) - 2), i -> transform(slice(bands, i + 2, size(bands)), y -> xxhash64(bands[i], y))))")
-    finer = own.select("id", F.explode(twos).alias("band"))
-    sizes = finer.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    finer = save(divided(finer.join(sizes, "band"), labels), "finer")
-    links, labels = add(looked_at(all_across(finer.where(f"members <= {SMALL}"))), links, labels)
-
-    # what is still large: further centres, twice as many each round, until each member but those of one component has been one
-    large = save(divided(finer.where(f"members > {SMALL}").select("id", "band", F.lit(False).alias("done")), labels), "large")
-    many = 4
+    # large buckets: further centres, four times as many each round, until each member but those of one component has been one
+    large = save(divided(rest.where(f"members > {SMALL}").select("id", "band", F.lit(False).alias("done")), labels), "large")
+    many = 8
     while not large.isEmpty():
         # the next centres are of the components that aren't the bucket's largest
         sizes = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
@@ -273,7 +264,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 2, percent: i
         now = chosen.select("band", F.col("centre").alias("id"), F.lit(True).alias("now"))
         rows = large.join(now, ["band", "id"], "left").select("id", "band", F.expr("done or coalesce(now, false)").alias("done"))
         large = save(divided(rows, labels), "large")
-        many *= 2
+        many *= 4
 
     # every row gets its representative's component; all ids of a component are reachable, its least one is a representative
     named = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id"))
