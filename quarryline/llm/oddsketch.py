@@ -36,6 +36,8 @@ BITS = 512
 SLACK = 0.2
 #: Bits of the odd sketch of a whole set.
 WHOLE = 1024
+#: A large bucket is dealt to this many parts, each of which gets all the round's centres.
+PARTS = 16
 #: A bucket with more members takes centres round by round, rather than comparing all pairs.
 SMALL = 24
 
@@ -201,14 +203,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 2, percent: i
     centres = shared.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("x"))
     shared = save(shared.join(centres.select("band", (-F.col("x.minus")).alias("centre")), "band"), "shared")
     light = nodes.select("id", "n", "odd", "whole")
+    centre_light = light.select(F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("odd").alias("co"), F.col("whole").alias("cw"))
     star = shared.where("id <> centre").select("id", "centre").distinct()
 
     def looked_at(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (id, centre) that lengths and sketches let pass, as (a, b) with their difference."""
-        near = light.select(F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("odd").alias("co"), F.col("whole").alias("cw"))
-        found = pairs.join(light, "id").join(near, "centre").where(fits)
+        found = pairs.join(light, "id").join(centre_light, "centre").where(fits)
         return found.select(F.col("id").alias("a"), F.col("centre").alias("b"), _differing("odd", "co").alias("far"))
 
+    def looked_at_in(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        """Those of the pairs of a member (id, band, label) and a centre (centre, band, home) of its bucket that pass.
+
+        The sketches are compared as the pairs are made, so only pairs that pass are kept.
+        """
+        mine = rows.select("id", "band", "label").join(light, "id").withColumn("part", F.expr(f"pmod(xxhash64(id), {PARTS})"))
+        near = chosen.join(centre_light, "centre").select(F.col("band").alias("cband"), "home", "centre", "cn", "co", "cw", F.explode(F.expr(f"sequence(0L, {PARTS - 1}L)")).alias("cpart"))
+        found = mine.join(near, (F.col("band") == F.col("cband")) & (F.col("part") == F.col("cpart")) & (F.col("label") != F.col("home")) & fits)
+        return found.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+
     passed = save(looked_at(star), "passed")
     # first each one's link to the centre most like it, then only those across components
     nearest = passed.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -259,8 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 2, percent: i
         chosen = save(waiting.withColumn("rank", rank).where(F.col("rank") <= many).select("band", F.col("id").alias("centre"), F.col("label").alias("home")), "chosen")
         if chosen.isEmpty():
             break
-        pairs = large.join(chosen, "band").where("label <> home").select("id", "centre").distinct()
-        links, labels = add(looked_at(pairs), links, labels)
+        links, labels = add(looked_at_in(large, chosen), links, labels)
         now = chosen.select("band", F.col("centre").alias("id"), F.lit(True).alias("now"))
         rows = large.join(now, ["band", "id"], "left").select("id", "band", F.expr("done or coalesce(now, false)").alias("done"))
         large = save(divided(rows, labels), "large")
