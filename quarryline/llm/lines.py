@@ -1,16 +1,19 @@
-"""Removal of repeated runs of lines, by winnowing.
-
-Text is wrapped into lines at its newlines and at sentence starts.  Hashes of
-two lines in a row are winnowed: of every two neighbouring ones the lesser is a
-fingerprint, so a run of three equal lines shares at least one; a line of
-``LONG`` words or more is a fingerprint by itself.  Fingerprints are joined to
-their first occurrence, which aligns two documents at an offset.  Where a block of
-``BLOCK`` lines has three fingerprints at one offset, or some of ``SURE`` words
-together, the match is extended both ways as far as the lines agree, by up to
-``REACH`` lines beyond the block.  Runs of ``min_words`` words or more are deleted
-where they come later, in the order of doc_id and place.
-
-Everything is DataFrame expressions.  A fingerprint is joined to one first
+"""Removal of repeated runs of words, by winnowing.
+
+A word goes if it lies in a window of ``min_words`` words that also stands at an
+earlier place, in the order of doc_id and place.  The union of these windows is
+every run of ``min_words`` words or more that came before, wherever it starts
+and ends, and whatever else its parts occur in.
+
+Hashing every window would make a row of each word, so a window first gets the
+least of the hashes of its ``GRAM`` words in a row.  Equal windows have equal
+ones, and neighbouring windows mostly share theirs: they are a span, which makes
+one row with a hash of all its words.  A span whose words stand at an earlier
+place is deleted whole.  Of the first occurrences, the windows are hashed
+themselves, and joined to their own first occurrence, where another span with
+other words has the same least hash or a window may be repeated within the span.
+
+Everything is DataFrame expressions.  A span or window is joined to one first
 occurrence, never to all others, so a passage in a third of all documents makes
 as many rows as it has copies; the aggregation before is partial.
 """
@@ -26,11 +29,9 @@ from .common import body, save
 CUT = r"(?<=\n)|(?<=[.!?]\s)|(?<=\s)(?=\p{Lu})"
 #: The same places by what stands before them, which is faster to look for; needs a mark that isn't in the text.
 ENDS, MARK = r"[.!?]\s|\s(?=\p{Lu})|\n", "\x01"
-#: Words in a line that is a fingerprint alone.
-LONG = 25
 MIN_WORDS = 40
-#: Lines of a block, how far a match is followed beyond it, and words of fingerprints that are worth it.
-BLOCK, REACH, SURE = 64, 40, 20
+#: Words in a row that the hash which is least in a span goes over, and those of them it is made of.
+GRAM, PICKED = 12, (0, 2, 5, 8, 11)
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -46,61 +47,70 @@ def _keyed(docs: DataFrame) -> DataFrame:
     ).withColumn("th", F.xxhash64("text"))
 
 
-def _units(keyed: DataFrame) -> DataFrame:
-    """Hash and number of words of each line of each distinct (d, th)."""
-    lines = keyed.select("d", "th", F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_BLANK))).alias("u"))
-    words = lambda x: F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    return lines.select("d", "th", F.transform("u", lambda x: F.xxhash64(x)).alias("h"), F.transform("u", words).alias("w"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, _BLANK[1:], " " * len(_BLANK[1:])), " "), lambda x: x != "")
 
 
-def _blocks(units: DataFrame, to: int) -> DataFrame:
-    """d, th, block, start, h, w: the lines from ``REACH`` before a block's first to ``to`` after it."""
-    each = F.expr(f"transform(sequence(0, (size(h) - 1) div {BLOCK}), b -> cast(b as int))")
-    rows = units.select("d", "th", "h", "w", F.explode(each).alias("block")).withColumn("start", F.expr(f"greatest(0, {BLOCK} * block - {REACH})"))
-    part = lambda c: F.expr(f"slice({c}, start + 1, {BLOCK} * block + {to} - start)")
-    return rows.select("d", "th", "block", "start", part("h").alias("h"), part("w").alias("w"))
+def _at(d: str, pos: str) -> Column:
+    """A place as one number, whose least an aggregation can keep in place."""
+    return (F.col(d).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(pos)).cast("decimal(38,0)")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, th and ``runs``, an array of [from, to) line numbers to delete, of the rows that have any."""
-    units = save(_units(_keyed(docs)), "units")
-    # g is bound in a lambda: as a column it could be put in its place and then be made anew for each element
-    marks = units.select("d", F.expr(f"""
-        transform(array(if(size(h) > 1, transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1])), cast(array() as array<bigint>))), g -> concat(
-          filter(transform(g, (x, i) -> named_struct('fp', x, 'pos', i, 'words', w[i] + w[i + 1])),
-                 s -> size(g) = 1 or coalesce(s.fp <= get(g, s.pos - 1), false) or coalesce(s.fp <= get(g, s.pos + 1), false)),
-          filter(transform(h, (x, i) -> named_struct('fp', x, 'pos', i, 'words', w[i])), s -> s.words >= {LONG})))[0]
-    """).alias("marks"))
+def _spans(keyed: DataFrame, n: int) -> DataFrame:
+    """d, th, from, to, fp, c, twice: spans of windows [from, to) of ``n`` words, their least hash, the hash of their words, whether the least hash is there twice."""
+    k = min(GRAM, n)
+    gram = ", ".join(f"h[i + {j}]" for j in PICKED if j < k)
+    # h, g and m are bound in lambdas: as columns they could be put in their place and then be made anew for each element
+    spans = F.expr(f"""
+        transform(array(h), h -> if(size(h) < {n}, cast(array() as array<struct<from: int, to: int, fp: bigint, c: bigint, twice: boolean>>),
+          transform(array(transform(sequence(0, size(h) - {k}), i -> xxhash64({gram}))), g ->
+            transform(array(transform(sequence(0, size(h) - {n}), i -> array_min(slice(g, i + 1, {n - k + 1})))), m ->
+              transform(array(filter(sequence(0, size(m) - 1), i -> i = 0 or m[i] <> m[i - 1])), starts ->
+                transform(transform(starts, (s, j) -> named_struct('from', s, 'to', coalesce(get(starts, j + 1), size(m)))), s ->
+                  named_struct('from', s.from, 'to', s.to, 'fp', m[s.from], 'c', xxhash64(slice(h, s.from + 1, s.to - s.from + {n - 1})),
+                    'twice', size(array_remove(slice(g, s.from + 1, s.to - s.from + {n - k}), m[s.from])) < s.to - s.from + {n - k - 1}))
+              )[0])[0])[0]))[0]
+    """)
+    rows = keyed.select("d", "th", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).select("d", "th", spans.alias("s"))
     # outer, as else the planner makes each array a second time to filter empty ones
-    marks = marks.select("d", F.explode_outer("marks").alias("m")).select("d", "m.*").where("pos is not null")
-    # the first occurrence as one number, which the aggregation can keep in place
-    wide = F.col("d").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
-    first = marks.groupBy("fp").agg(F.min(wide.cast("decimal(38,0)")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("fp", F.expr("cast(floor(x / 4294967296) as bigint)").alias("fd"), F.expr("cast(pmod(x, 4294967296) as int)").alias("fpos"))
-    pairs = marks.join(first, "fp").where("d <> fd or pos > fpos").groupBy("d", "fd", (F.col("fpos") - F.col("pos")).alias("off"), F.expr(f"pos div {BLOCK}").cast("int").alias("block"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).where(f"n >= 3 or words >= {SURE}")
-    pairs = pairs.select("d", "fd", "off", "block", F.expr(f"greatest(0, cast(floor(({BLOCK} * block + off) / {BLOCK}) as int))").alias("fblock"))
-    own = _blocks(units, BLOCK + REACH)
-    other = _blocks(units, 2 * BLOCK + REACH).select(F.col("d").alias("fd"), F.col("block").alias("fblock"), F.col("start").alias("fstart"), F.col("h").alias("fh"))
-    both = pairs.join(own, ["d", "block"]).join(other, ["fd", "fblock"])
-    runs = both.select("d", "th", F.explode_outer(F.expr(f"""
-        aggregate(sequence(0, size(h)),
-          named_struct('from', 0, 'words', 0, 'out', cast(array() as array<struct<from: int, to: int>>)),
-          (a, i) -> if(i < size(h) and coalesce(get(h, i) = get(fh, start + i + off - fstart), false),
-            named_struct('from', a.from, 'words', a.words + get(w, i), 'out', a.out),
-            named_struct('from', i + 1, 'words', 0, 'out',
-              if(a.words >= {int(min_words)}, array_append(a.out, named_struct('from', start + a.from, 'to', start + i)), a.out))),
-          a -> a.out)
-    """)).alias("r"))
-    return runs.where("r is not null").groupBy("d", "th").agg(F.collect_set("r").alias("runs"))
+    return rows.select("d", "th", F.explode_outer("s").alias("s")).select("d", "th", "s.*").where("fp is not null")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, th and ``runs``, an array of [from, to) word numbers to delete, of the rows that have any."""
+    n, keyed = int(min_words), _keyed(docs).select("d", "th", "text")
+    spans = save(_spans(keyed, n), "spans")
+    texts = spans.groupBy("fp", "c").agg(F.min(_at("d", "from")).alias("x"), F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"))
+    texts = save(texts, "texts")
+    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    texts = texts.join(several, "fp", "left").select("fp", "c", "x", "copies", (F.col("twice") | F.col("kinds").isNotNull()).alias("ask")).where("copies > 1 or ask")
+    later = _at("d", "from") > F.col("x")
+    found = spans.drop("twice").join(texts, ["fp", "c"]).select("d", "th", "from", "to", later.alias("later"), "ask").where("later or ask")
+    found = save(found, "found")
+    asked = found.where("not later").groupBy("d", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    each = F.expr(f"""
+        transform(array(h), h -> flatten(transform(spans, s -> transform(sequence(s.from, s.to - 1),
+          i -> named_struct('pos', i, 'win', xxhash64(slice(h, i + 1, {n})))))))[0]""")
+    rows = keyed.join(asked, ["d", "th"]).select("d", "th", "spans", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    windows = save(rows.select("d", "th", F.explode_outer(each).alias("w")).select("d", "th", "w.*"), "windows")
+    first = windows.groupBy("win").agg(F.min(_at("d", "pos")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, "win").where(_at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), (F.col("pos") + 1).alias("to"))
+    gone = found.where("later").select("d", "th", "from", "to").unionAll(again).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("at"))
+    return gone.select("d", "th", F.expr(f"""
+        transform(array(at), p -> zip_with(
+          filter(p, (x, i) -> i = 0 or x.from >= p[i - 1].to + {n}), filter(p, (x, i) -> i = size(p) - 1 or p[i + 1].from >= x.to + {n}),
+          (x, y) -> named_struct('from', x.from, 'to', y.to + {n - 1})))[0]""").alias("runs"))
 
 
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:
-    """The keyed rows with ``u``, their lines, and ``gone``, whether each is deleted (null: none is)."""
+    """The keyed rows with ``runs``, ``u``, their words with the blanks after them, and ``gone``, whether each is deleted (null: none is)."""
     keyed = _keyed(docs).drop("text")  # it is in the row; twice through the shuffle would be too much
     found = repeated_runs(docs, min_words)
-    joined = keyed.join(found, ["d", "th"], "left").withColumn("text", body("row.text")).withColumn("u", F.when(F.col("runs").isNotNull(), _lines(F.col("text"))))
-    return joined.withColumn("gone", F.expr("transform(u, (x, i) -> exists(runs, r -> i >= r.from and i < r.to))"))
+    joined = keyed.join(found, ["d", "th"], "left").withColumn("text", body("row.text"))
+    joined = joined.withColumn("u", F.when(F.col("runs").isNotNull(), F.split("text", f"(?<=[{_BLANK}])(?=[^{_BLANK}])", -1)))
+    # blanks before the first word are an element of their own, number -1
+    joined = joined.withColumn("lead", F.when(F.substring("text", 1, 1).isin(*_BLANK), 1).otherwise(0))
+    return joined.withColumn("gone", F.expr("transform(u, (x, i) -> exists(runs, r -> i - lead >= r.from and i - lead < r.to))"))
 
 
 _KEPT = "if(gone is null, text, array_join(transform(filter(arrays_zip(u, gone), z -> not z.gone), z -> z.u), ''))"
@@ -125,8 +135,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, removed_lines, removed_chars, kept_chars, kept_sha256 of every row."""
-    rows = _marked(docs.select("doc_id", "text"), min_words).select("row", "text", F.expr(_KEPT).alias("kept"), F.expr("coalesce(size(filter(gone, x -> x)), 0)").alias("n"))
+    """doc_id, removed_lines (those of which all words went), removed_chars, kept_chars, kept_sha256 of every row."""
+    rows = _marked(docs.select("doc_id", "text"), min_words).withColumn("sizes", F.when(F.col("runs").isNotNull(), F.transform(_lines(F.col("text")), lambda x: F.size(_words(x)))))
+    # a blank line goes if words on both sides of it do
+    whole = "exists(runs, r -> if(x > 0, a.at >= r.from and a.at + x <= r.to, a.at > r.from and a.at < r.to))"
+    lines = F.expr(f"aggregate(sizes, named_struct('at', 0, 'n', 0), (a, x) -> named_struct('at', a.at + x, 'n', a.n + if({whole}, 1, 0)), a -> a.n)")
+    rows = rows.select("row", "text", F.expr(_KEPT).alias("kept"), F.coalesce(lines, F.lit(0)).alias("n"))
     return rows.select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("removed_lines"),
         (F.length("text") - F.length("kept")).cast("long").alias("removed_chars"), F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"),

@@ -143,6 +143,38 @@ def test_lines_against_all_places(spark):
     assert sum(got.values()) > 50
 
 
+def brute_words(rows, n):
+    """What is left of each text without the windows of n words that came before."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            if key in seen:
+                gone |= set(range(k, k + n))
+            seen.add(key)
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_lines_passages_anywhere(spark):
+    rng, rows = random.Random(8), []
+    words = [f"w{i}" for i in range(2000)]
+    for i in range(40):
+        plain, size = i % 2, rng.choice((40, 55, 60, 100, 150))
+        passage = rng.choices(words, k=size)
+        if not plain:
+            passage = [x.capitalize() if rng.random() < 0.1 else x + "." if rng.random() < 0.1 else x for x in passage]
+        for _ in range(2):
+            rows.append((len(rows), "  " * (i % 3) + " ".join(rng.choices(words, k=rng.randint(5, 60)) + passage + rng.choices(words, k=rng.randint(5, 60)))))
+    rows += [(500, "tick " * 90), (501, "a b c " * 30), (502, "tick " * 39)]
+    got = {r.doc_id: r.text.split() for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_words(rows, lines.MIN_WORDS)
+    assert got == {i: w for i, w in want.items() if w}
+    assert sum(len(t.split()) for _, t in rows) - sum(map(len, want.values())) > 40 * 40
+
+
 def test_lines_odd(odd):
     got = lines.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
