@@ -175,6 +175,17 @@ def test_lines_passages_anywhere(spark):
     assert sum(len(t.split()) for _, t in rows) - sum(map(len, want.values())) > 40 * 40
 
 
+def test_lines_parts_elsewhere(spark):
+    """The parts of a repeated passage each came before, in shorter contexts."""
+    rng, rows = random.Random(9), []
+    for i in range(20):
+        part = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=12)).capitalize() + "." for _ in range(7)]
+        rows += [(len(rows) + j, " ".join(part[a:b])) for j, (a, b) in enumerate(((0, 3), (2, 5), (4, 7), (0, 7), (0, 7)))]
+    got = {r.doc_id: r.removed_lines for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows, lines.MIN_WORDS)
+    assert [got[i] for i in range(5)] == [0, 0, 0, 0, 7]
+
+
 def test_lines_odd(odd):
     got = lines.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
