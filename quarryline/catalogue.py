@@ -282,10 +282,10 @@ EDGES = """edges AS (SELECT DISTINCT l_suppkey src, ['uses', 'variant-of', 'expl
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small typed graph for the inference query, which stands for one report's."""
+    """The typed graph of all lines."""
     verbs = F.array(*map(F.lit, ("uses", "variant-of", "exploits", "indicates")))
-    rows = _t(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
-    return rows.select(F.col("l_suppkey").alias("src"), verbs[F.col("l_linenumber") % 4].alias("verb"), (F.col("l_partkey") % 97).alias("tgt"), F.col("l_quantity").cast("int").alias("confidence")).distinct()
+    rows = _t(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", F.col("l_suppkey").alias("src"), verbs[F.col("l_linenumber") % 4].alias("verb"), (F.col("l_partkey") % 97).alias("tgt"), F.col("l_quantity").cast("int").alias("confidence"))
 
 
 @query(f"""WITH {EDGES}, t(v1, v2, verb) AS (VALUES ('uses','uses','uses'), ('attributed-to','attributed-to','attributed-to'), ('attributed-to','uses','uses'), ('uses','variant-of','uses'), ('variant-of','uses','uses'),
@@ -293,6 +293,11 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.src, t.verb, b.tgt, max(CAST(floor(least(a.confidence, b.confidence) / 100 * 0.9 * 100) AS INT)) AS confidence FROM edges a JOIN edges b ON a.tgt = b.src JOIN t ON t.v1 = a.verb AND t.v2 = b.verb
 WHERE a.src <> b.tgt AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.verb = t.verb AND e.tgt = b.tgt) GROUP BY ALL ORDER BY 1, 2, 3 LIMIT 200""")
 def transitive_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.composed(_edges(spark, sf_dir).where("l_orderkey % 40 = 0"))  # as its SQL says
+
+
+@query(ORACLES["transitive_compose"].replace(" WHERE l_orderkey % 40 = 0", ""))
+def transitive_compose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.composed(_edges(spark, sf_dir))
 
 

@@ -73,3 +73,26 @@ def test_follow_copies_once(spark, tmp_path):
         rows.write.mode("append").parquet(src)
         progress.follow(spark, src, rows.schema, to, at)
         assert spark.read.parquet(to).count() == n
+
+
+def test_composition_takes_every_edge(spark):
+    from quarryline import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    verbs = ("uses", "variant-of", "exploits", "indicates")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity").collect()
+    edges = {}
+    for r in rows:
+        key = (r.l_suppkey, verbs[r.l_linenumber % 4], r.l_partkey % 97)
+        edges[key] = max(edges.get(key, 0), int(r.l_quantity))
+    out, want = {}, {}
+    for (a, v, b), c in edges.items():
+        out.setdefault(a, []).append((v, b, c))
+    table = {(v1, v2): v for v1, v2, v in graph.TRANSITIVE}
+    for (a, v1, mid), c1 in edges.items():
+        for v2, b, c2 in out.get(mid, ()):
+            key = (a, table.get((v1, v2)), b)
+            if key[1] and a != b and key not in edges:
+                want[key] = max(want.get(key, 0), int(min(c1, c2) / 100 * 0.9 * 100))
+    got = [tuple(r) for r in catalogue.QUERIES["transitive_compose_all"](spark, sf).select("src", "verb", "tgt", "confidence").collect()]
+    assert sorted(got) == [(*k, want[k]) for k in sorted(want)[:200]]
