@@ -219,6 +219,13 @@ def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_name").distinct().join(needles, fits).select(F.col("p_name").alias("atom"), "needle")
 
 
+@query("""SELECT p_name AS atom, n AS needle FROM (SELECT DISTINCT p_name FROM part) p, (SELECT p_brand n FROM part UNION SELECT p_name FROM part) q
+WHERE p_name <> n AND least(length(n), length(p_name)) >= 8 AND (contains(p_name, n) OR contains(n, p_name)) AND least(length(n), length(p_name)) >= 0.5 * greatest(length(n), length(p_name))""")
+def substring_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    return rules.contained(part.select(F.col("p_name").alias("atom")), part.select(F.explode(F.array("p_name", "p_brand")).alias("needle")))
+
+
 COVERAGE = f"""{TAGS}, {RULES}, refs AS (SELECT DISTINCT t.technique, r."cluster" native_key, r.corpus FROM tags t JOIN rules r USING (rule_id)),
 own AS (SELECT native_key, min(corpus) "owner" FROM refs GROUP BY native_key)"""
 

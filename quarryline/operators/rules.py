@@ -72,3 +72,21 @@ def technique_weights(tags: DataFrame, df: DataFrame, total: int) -> DataFrame:
     breadth = tags.groupBy("rule_id").agg(F.countDistinct("technique").alias("breadth"))
     each = tags.join(df, "technique").withColumn("w", F.lit(0.30) * F.greatest(F.lit(0.15), T.idf(F.col("df"), F.lit(total))) * F.when(F.col("by_parent"), 0.6).otherwise(1.0))
     return each.groupBy("rule_id").agg(F.max("w").alias("w")).join(breadth, "rule_id").select("rule_id", (F.col("w") / F.sqrt("breadth")).alias("weight"))
+
+
+def contained(atoms: DataFrame, needles: DataFrame, least: int = 8, share: float = 0.5) -> DataFrame:
+    """atom, needle: pairs of which one holds the other, which has ``least`` characters and ``share`` of its length or more.
+
+    The shorter one's first ``least`` characters are the key of an equi-join
+    with all such pieces of the longer one.
+    """
+    a = atoms.select(F.col("atom").alias("value"), F.lit(True).alias("a"), F.lit(False).alias("n"))
+    n = needles.select(F.col("needle").alias("value"), F.lit(False).alias("a"), F.lit(True).alias("n"))
+    each = a.unionAll(n).where(F.length("value") >= least).groupBy("value").agg(F.max("a").alias("a"), F.max("n").alias("n"))
+    pieces = F.expr(f"array_distinct(transform(sequence(1, length(value) - {least} + 1), i -> substring(value, i, {least})))")
+    long = each.select(F.col("value").alias("long"), F.col("a").alias("long_a"), F.col("n").alias("long_n"), F.explode(pieces).alias("key"))
+    short = each.select(F.col("value").alias("short"), F.col("a").alias("short_a"), F.col("n").alias("short_n"), F.substring("value", 1, least).alias("key"))
+    fits = (F.col("long") != F.col("short")) & F.contains("long", "short") & (F.length("short") >= share * F.length("long"))
+    both = short.join(long, "key").where(fits)
+    found = both.where("long_a and short_n").select(F.col("long").alias("atom"), F.col("short").alias("needle"))
+    return found.unionAll(both.where("short_a and long_n").select(F.col("short").alias("atom"), F.col("long").alias("needle")))

@@ -96,3 +96,18 @@ def test_composition_takes_every_edge(spark):
                 want[key] = max(want.get(key, 0), int(min(c1, c2) / 100 * 0.9 * 100))
     got = [tuple(r) for r in catalogue.QUERIES["transitive_compose_all"](spark, sf).select("src", "verb", "tgt", "confidence").collect()]
     assert sorted(got) == [(*k, want[k]) for k in sorted(want)[:200]]
+
+
+def test_containment_both_ways(spark):
+    from quarryline.operators import rules
+
+    atoms = ["meshagent64.exe", "meshagent", "agent", "C:\\temp\\meshagent64.exe", "abababababab", "abababab", "x" * 7, "x" * 16, "x" * 8, None]
+    needles = ["meshagent", "meshagent64.exe", "meshagent64.exe.bak", "abababab", "x" * 17, "agent64.exe", "", None]
+    got = rules.contained(spark.createDataFrame([(a,) for a in atoms], "atom string"), spark.createDataFrame([(n,) for n in needles], "needle string")).collect()
+    want = set()
+    for a in filter(None, atoms):
+        for n in filter(None, needles):
+            short, long = sorted((a, n), key=len)
+            if a != n and len(short) >= 8 and short in long and len(short) / len(long) >= 0.5:
+                want.add((a, n))
+    assert sorted((r.atom, r.needle) for r in got) == sorted(want) and ("meshagent", "meshagent64.exe") in want
