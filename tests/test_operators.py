@@ -111,3 +111,14 @@ def test_containment_both_ways(spark):
             if a != n and len(short) >= 8 and short in long and len(short) / len(long) >= 0.5:
                 want.add((a, n))
     assert sorted((r.atom, r.needle) for r in got) == sorted(want) and ("meshagent", "meshagent64.exe") in want
+
+
+def test_every_rule_and_vector_is_searched(spark, tmp_path):
+    from quarryline import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    assert catalogue.QUERIES["also_in_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    rows = [(100, [1.0, 0.0], 1), (200, [1.0, 0.1], 1), (300, [0.0, 1.0], 0), *[(k, [-1.0, float(k)], 0) for k in range(1, 8)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query"], r["rank"]): r["hit"] for r in catalogue.QUERIES["cosine_topk"](spark, str(tmp_path)).collect()}
+    assert (got[100, 1], got[200, 1]) == (200, 100) and all(q != hit for (q, _), hit in got.items())
