@@ -14,13 +14,21 @@ from quarryline.llm.common import save, tokenizer_path
 
 #: A text whose best cosine with any language is lower isn't text of these languages.
 LEAST_SCORE = 0.05
+#: The same for a text of ``ENOUGH`` letters or more; a shorter one scores too much by chance to ask more of it.
+CLEAR_SCORE, ENOUGH = 0.165, 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without letters or unlike any language go."""
+    """Documents in which a language is found; those without letters or unlike any language go.
+
+    A text of fewer than ``ENOUGH`` letters goes by the lower mark only, so some
+    short ones in other languages stay.
+    """
     protos = hyperdim.prototypes(docs, F.lit(True))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = hyperdim.predict(kept, protos, [F.col("row")]).where((F.col("lang_pred") != hyperdim.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    letters = F.length(F.regexp_replace(F.col("row.text"), r"\P{L}+", ""))
+    found = found.where((F.col("score") >= CLEAR_SCORE) | (letters < ENOUGH))
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

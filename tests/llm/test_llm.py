@@ -320,3 +320,23 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 2048 and out.doc_id.nunique() > 100
+
+
+def test_pipeline_language_rejects_junk(spark, docs):
+    import base64
+
+    import corpus_pipeline
+
+    rng, junk = random.Random(11), []
+    for _ in range(25):
+        junk.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(400)))
+        junk.append(base64.b64encode(rng.randbytes(300)).decode())
+        junk.append(" ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшщыьэюя") for _ in range(rng.randint(2, 9))) for _ in range(60)))
+        junk.append("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300)))
+        junk.append(rng.randbytes(300).hex())
+    real = docs.select("doc_id", "text", "lang")
+    short = real.where("length(text) > 400").selectExpr("doc_id + 200000 as doc_id", "substring_index(text, ' ', 6) as text", "cast(null as string) as lang")
+    planted = spark.createDataFrame([(100000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, real.union(planted).union(short), SF).collect()}
+    assert sum(100000 <= i < 200000 for i in kept) <= 0.02 * len(junk)
+    assert sum(i < 100000 for i in kept) >= 0.99 * real.count() and sum(i >= 200000 for i in kept) >= 0.95 * short.count()
