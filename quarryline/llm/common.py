@@ -25,16 +25,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor repeats no earlier stage, and gives
-    the planner the true size, by which it decides on broadcasts.
+    the planner the true size, by which it decides on broadcasts and splits
+    hot keys of joins.  A ``light`` table, of a few numbers for each document
+    at most, is written by four tasks for each core rather than one for each
+    shuffle partition, as opening a file is what takes long there.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/quarryline-{uuid.uuid4().hex}/{name}"
     _SCRATCH.append((weakref.ref(spark), path))
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if light else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
