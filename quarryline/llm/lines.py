@@ -5,17 +5,21 @@ earlier place, in the order of doc_id and place.  The union of these windows is
 every run of ``min_words`` words or more that came before, wherever it starts
 and ends, and whatever else its parts occur in.
 
-Hashing every window would make a row of each word, so a window first gets the
-least of the hashes of its ``GRAM`` words in a row.  Equal windows have equal
-ones, and neighbouring windows mostly share theirs: they are a span, which makes
-one row with a hash of all its words.  A span whose words stand at an earlier
-place is deleted whole.  Of the first occurrences, the windows are hashed
-themselves, and joined to their own first occurrence, where another span with
-other words has the same least hash or a window may be repeated within the span.
+Hashing every window would make a row of each word, so a window first gets a
+fingerprint: the leftmost of the ``GRAM``-word grams that start in it and are
+least by the hash of their first two words, where hashes are compared by class
+only (one in 16, one in 4, all others).  Equal windows have equal fingerprints, and neighbouring windows
+mostly share theirs: they are a span, which makes one row with a hash of all its
+words, made from hashes of the pieces that the document's spans divide it into.  A span whose words stand at an earlier place is deleted whole.  Where a
+fingerprint has spans with different words, windows may be equal though spans
+aren't, as at the ends of a repeated run: of such spans' first occurrences the
+windows are hashed themselves, and joined to their own first occurrence.  Two
+windows of one span are never equal, as the fingerprint lies elsewhere in them.
 
 Everything is DataFrame expressions.  A span or window is joined to one first
 occurrence, never to all others, so a passage in a third of all documents makes
-as many rows as it has copies; the aggregation before is partial.
+as many rows as it has copies; aggregations before are partial, and both sides
+of a join on hashes are saved tables, whose hot keys Spark can split.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ CUT = r"(?<=\n)|(?<=[.!?]\s)|(?<=\s)(?=\p{Lu})"
 #: The same places by what stands before them, which is faster to look for; needs a mark that isn't in the text.
 ENDS, MARK = r"[.!?]\s|\s(?=\p{Lu})|\n", "\x01"
 MIN_WORDS = 40
-#: Words in a row that the hash which is least in a span goes over, and those of them it is made of.
+#: Words in a row that a fingerprint goes over, and those of them it is made of.
 GRAM, PICKED = 12, (0, 2, 5, 8, 11)
+#: Rows of up to 16 bytes that may be broadcast; with more, the other side is shuffled too.
+FEW = 2_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -44,11 +50,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """The row as a struct, so that its column names can't clash, with its order, text and text's hash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), body("row.text").alias("text")
-    ).withColumn("th", F.xxhash64("text"))
+    ).withColumn("th", F.hash("text"))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, _BLANK[1:], " " * len(_BLANK[1:])), " "), lambda x: x != "")
+    rare = "[" + "".join(_BLANK[1:]).replace("\n", "") + "]"
+    plain = F.when(text.rlike(rare), F.translate(text, _BLANK[1:], " " * len(_BLANK[1:]))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _part(array: str, first: str, last: str) -> str:
+    """Elements ``first`` to ``last`` of an array; ``slice`` would copy the whole array first."""
+    return f"transform(sequence({first}, {last}), e -> {array}[e])"
 
 
 def _at(d: str, pos: str) -> Column:
@@ -57,63 +70,92 @@ def _at(d: str, pos: str) -> Column:
 
 
 def _spans(keyed: DataFrame, n: int) -> DataFrame:
-    """d, th, from, to, fp, c, twice: spans of windows [from, to) of ``n`` words, their least hash, the hash of their words, whether the least hash is there twice."""
+    """d, th, from, to, fp, c: spans of windows [from, to] of ``n`` words, their fingerprint, a hash of their words and some after them."""
     k = min(GRAM, n)
-    gram = ", ".join(f"h[i + {j}]" for j in PICKED if j < k)
-    # h, g and m are bound in lambdas: as columns they could be put in their place and then be made anew for each element
-    spans = F.expr(f"""
-        transform(array(h), h -> if(size(h) < {n}, cast(array() as array<struct<from: int, to: int, fp: bigint, c: bigint, twice: boolean>>),
-          transform(array(transform(sequence(0, size(h) - {k}), i -> xxhash64({gram}))), g ->
-            transform(array(transform(sequence(0, size(h) - {n}), i -> array_min(slice(g, i + 1, {n - k + 1})))), m ->
-              transform(array(filter(sequence(0, size(m) - 1), i -> i = 0 or m[i] <> m[i - 1])), starts ->
-                transform(transform(starts, (s, j) -> named_struct('from', s, 'to', coalesce(get(starts, j + 1), size(m)))), s ->
-                  named_struct('from', s.from, 'to', s.to, 'fp', m[s.from], 'c', xxhash64(slice(h, s.from + 1, s.to - s.from + {n - 1})),
-                    'twice', size(array_remove(slice(g, s.from + 1, s.to - s.from + {n - k}), m[s.from])) < s.to - s.from + {n - k - 1}))
-              )[0])[0])[0]))[0]
-    """)
-    rows = keyed.select("d", "th", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).select("d", "th", spans.alias("s"))
+    w = n - k + 1  # grams that start in a window
+    kind = "array<struct<from: int, to: int, at: int>>"
+    span = lambda first, last, at: f"named_struct('from', {first}, 'to', least({last}, size(w) - {n}), 'at', {at})"
+    # w, marks and so on are bound in lambdas: as columns they could be put in their place and then be made anew for each element
+    # marks: twice the place of each pair of words of the two lower classes, plus 1 for the second
+    pair = "xxhash64(x, get(w, i + 1))"
+    marks = f"array_compact(transform(w, (x, i) -> if(({pair} & 3) = 0, 2 * i + if(({pair} & 15) = 0, 0, 1), null)))"
+    tops = "array_compact(transform(marks, (m, i) -> if((m & 1) = 0, i, null)))"
+    # windows without the lowest class, between those at p.a and p.b: y are the marks there, and windows without one have their own start
+    each = f"""transform(array(named_struct('a', coalesce(shiftright(get(ys, q - 1), 1), p.a), 'b', coalesce(shiftright(get(ys, q), 1), p.b))), y -> concat(
+      if(least(y.b - {w}, size(w) - {n}) > y.a, transform(sequence(y.a + 1, least(y.b - {w}, size(w) - {n})), i -> {span("i", "i", "i")}), cast(array() as {kind})),
+      if(q < size(ys), array({span(f"greatest(y.a + 1, y.b - {w - 1})", f"least(y.b, p.b - {w})", "y.b")}), cast(array() as {kind}))))[0]"""
+    gap = f"transform(array(if(g.b > g.a + 1, {_part('marks', 'g.a + 1', 'g.b - 1')}, cast(array() as array<int>))), ys -> flatten(transform(sequence(0, size(ys)), q -> {each})))[0]"
+    top = f"if(g.b < size(marks), array({span(f'greatest(p.a + 1, p.b - {w - 1})', 'p.b', 'p.b')}), cast(array() as {kind}))"
+    part = f"""transform(array(named_struct('a', coalesce(get(tops, t - 1), -1), 'b', coalesce(get(tops, t), size(marks)))), g ->
+      transform(array(named_struct('a', coalesce(shiftright(get(marks, g.a), 1), -1), 'b', coalesce(shiftright(get(marks, g.b), 1), size(w) - {n - w}))), p ->
+        concat(if(p.b - p.a > {w}, {gap}, cast(array() as {kind})), {top}))[0])[0]"""
+    gram = ", ".join(f"w[s.at + {j}]" for j in PICKED if j < k)
+    tiles = f"filter(flatten(transform(sequence(0, size(tops)), t -> {part})), s -> s.from <= s.to)"
+    # spans lie side by side; pieces: hashes of the words that they begin with, and of the words after the last
+    rest = f"if({n} > 1, array(xxhash64({_part('w', f'size(w) - {n - 1}', 'size(w) - 1')})), cast(array() as array<bigint>))"
+    pieces = f"concat(transform(tiles, s -> xxhash64({_part('w', 's.from', 's.to')})), {rest})"
+    steps = " ".join(f"when coalesce(get(tiles, j + {m}).to >= s.to + {n - 1}, true) then {m}" for m in (3, 4, 5, 6, 7, 8, 10, 13, 20) if m < n - 1)
+    reach = _part("pieces", "j", f"least(size(pieces) - 1, j + case {steps} else {n - 1} end)")
+    found = f"""transform(array({tiles}), tiles -> transform(array({pieces}), pieces -> transform(tiles, (s, j) ->
+      named_struct('from', s.from, 'to', s.to, 'fp', xxhash64({gram}), 'c', xxhash64({reach}))))[0])[0]"""
+    spans = F.expr(f"transform(array(words), w -> transform(array({marks}), marks -> transform(array({tops}), tops -> {found})[0])[0])[0]")
+    rows = keyed.select("d", "th", _words(F.col("text")).alias("words")).where(F.size("words") >= n).select("d", "th", spans.alias("s"))
     # outer, as else the planner makes each array a second time to filter empty ones
     return rows.select("d", "th", F.explode_outer("s").alias("s")).select("d", "th", "s.*").where("fp is not null")
 
 
+def _having(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in the saved table ``keys`` of whole numbers."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, keys.columns, "left_semi")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th and ``runs``, an array of [from, to) word numbers to delete, of the rows that have any."""
     n, keyed = int(min_words), _keyed(docs).select("d", "th", "text")
     spans = save(_spans(keyed, n), "spans")
-    texts = spans.groupBy("fp", "c").agg(F.min(_at("d", "from")).alias("x"), F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"))
-    texts = save(texts, "texts")
-    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    texts = texts.join(several, "fp", "left").select("fp", "c", "x", "copies", (F.col("twice") | F.col("kinds").isNotNull()).alias("ask")).where("copies > 1 or ask")
+    often = save(spans.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "often", light=True)
+    again = save(_having(spans, often), "again")
+    texts = again.groupBy("fp", "c").agg(F.min(_at("d", "from")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    texts = save(texts, "texts", light=True)
+    several = save(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("fp", F.lit(True).alias("ask")), "several", light=True)
+    texts = texts.join(several, "fp", "left").where("copies > 1 or ask").select("fp", "c", "x", F.coalesce("ask", F.lit(False)).alias("ask"))
     later = _at("d", "from") > F.col("x")
-    found = spans.drop("twice").join(texts, ["fp", "c"]).select("d", "th", "from", "to", later.alias("later"), "ask").where("later or ask")
-    found = save(found, "found")
-    asked = found.where("not later").groupBy("d", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    found = again.join(save(texts, "kinds", light=True), ["fp", "c"]).select("d", "th", "from", "to", later.alias("later"), "ask").where("later or ask")
+    found = save(found, "found", light=True)
+    asked = save(found.where("not later").groupBy("d", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "asked", light=True)
     each = F.expr(f"""
-        transform(array(h), h -> flatten(transform(spans, s -> transform(sequence(s.from, s.to - 1),
-          i -> named_struct('pos', i, 'win', xxhash64(slice(h, i + 1, {n})))))))[0]""")
-    rows = keyed.join(asked, ["d", "th"]).select("d", "th", "spans", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+        transform(array(words), w -> flatten(transform(spans, s -> transform(sequence(s.from, s.to),
+          i -> named_struct('pos', i, 'win', xxhash64({_part("w", "i", f"i + {n - 1}")}))))))[0]""")
+    rows = _having(keyed, asked.select("d", "th")).join(asked, ["d", "th"]).select("d", "th", "spans", _words(F.col("text")).alias("words"))
     windows = save(rows.select("d", "th", F.explode_outer(each).alias("w")).select("d", "th", "w.*"), "windows")
     first = windows.groupBy("win").agg(F.min(_at("d", "pos")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, "win").where(_at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), (F.col("pos") + 1).alias("to"))
-    gone = found.where("later").select("d", "th", "from", "to").unionAll(again).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("at"))
-    return gone.select("d", "th", F.expr(f"""
+    late = windows.join(save(first, "first", light=True), "win").where(_at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), F.col("pos").alias("to"))
+    gone = found.where("later").select("d", "th", "from", "to").unionAll(late).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("at"))
+    runs = gone.select("d", "th", F.expr(f"""
         transform(array(at), p -> zip_with(
-          filter(p, (x, i) -> i = 0 or x.from >= p[i - 1].to + {n}), filter(p, (x, i) -> i = size(p) - 1 or p[i + 1].from >= x.to + {n}),
-          (x, y) -> named_struct('from', x.from, 'to', y.to + {n - 1})))[0]""").alias("runs"))
+          filter(p, (x, i) -> i = 0 or x.from > p[i - 1].to + {n}), filter(p, (x, i) -> i = size(p) - 1 or p[i + 1].from > x.to + {n}),
+          (x, y) -> named_struct('from', x.from, 'to', y.to + {n})))[0]""").alias("runs"))
+    return save(runs, "runs", light=True)
 
 
-def _marked(docs: DataFrame, min_words: int) -> DataFrame:
-    """The keyed rows with ``runs``, ``u``, their words with the blanks after them, and ``gone``, whether each is deleted (null: none is)."""
-    keyed = _keyed(docs).drop("text")  # it is in the row; twice through the shuffle would be too much
-    found = repeated_runs(docs, min_words)
-    joined = keyed.join(found, ["d", "th"], "left").withColumn("text", body("row.text"))
-    joined = joined.withColumn("u", F.when(F.col("runs").isNotNull(), F.split("text", f"(?<=[{_BLANK}])(?=[^{_BLANK}])", -1)))
-    # blanks before the first word are an element of their own, number -1
-    joined = joined.withColumn("lead", F.when(F.substring("text", 1, 1).isin(*_BLANK), 1).otherwise(0))
-    return joined.withColumn("gone", F.expr("transform(u, (x, i) -> exists(runs, r -> i - lead >= r.from and i - lead < r.to))"))
+def _pieces(text: Column) -> Column:
+    """The words with the blanks after them; blanks before the first word are a piece of their own."""
+    # a mark after each space and newline, which is fast, will do where no two blanks meet
+    marked = F.replace(F.replace(text, F.lit(" "), F.lit(f" {MARK}")), F.lit("\n"), F.lit(f"\n{MARK}"))
+    other = f"[{_BLANK}]{{2}}|[\t\x0b\x0c\r]|{MARK}"
+    return F.when(text.rlike(other), F.split(text, f"(?<=[{_BLANK}])(?=[^{_BLANK}])", -1)).otherwise(F.array_remove(F.split(marked, MARK, -1), ""))
 
 
-_KEPT = "if(gone is null, text, array_join(transform(filter(arrays_zip(u, gone), z -> not z.gone), z -> z.u), ''))"
+def _marked(docs: DataFrame, min_words: int) -> DataFrame:
+    """The keyed rows with ``runs`` (null: none) and ``kept``, what is left of the text."""
+    keyed = _keyed(docs).drop("text")  # it is in the row; twice through the shuffle would be too much
+    joined = keyed.join(repeated_runs(docs, min_words), ["d", "th"], "left").withColumn("text", body("row.text"))
+    # lead: whether the first piece is blank, so that word i is piece i + 1
+    kept = F.expr("""transform(array(pieces), u -> transform(array(if(btrim(u[0], '{blank}') = '', 1, 0)), lead -> array_join(flatten(
+        transform(sequence(0, size(runs)), j -> transform(array(named_struct('a', if(j = 0, 0, get(runs, j - 1).to + lead), 'b', coalesce(get(runs, j).from + lead, size(u)))), r ->
+          if(r.b > r.a, {part}, cast(array() as array<string>)))[0])), ''))[0])[0]""".format(blank=_BLANK, part=_part("u", "r.a", "r.b - 1")))
+    joined = joined.withColumn("pieces", F.when(F.col("runs").isNotNull(), _pieces(F.col("text"))))
+    return joined.select("row", "text", "runs", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -125,12 +167,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document: what stands at the same place in them stays.  All columns are
     kept whatever their names; no rows give none.
     """
-    out = _marked(docs, min_words).select("row", F.expr(_KEPT).alias("kept"), "gone")
-    out = out.where(F.expr(f"gone is null or btrim(kept, '{_BLANK}') <> ''"))
-    new = {"text": F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.col("kept"))}
+    out = _marked(docs, min_words).where(F.col("runs").isNull() | (F.btrim("kept", F.lit(_BLANK)) != ""))
+    new = {"text": F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.col("kept"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(kind))
+        new["n_chars"] = F.when(F.col("runs").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(kind))
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -140,7 +181,7 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a blank line goes if words on both sides of it do
     whole = "exists(runs, r -> if(x > 0, a.at >= r.from and a.at + x <= r.to, a.at > r.from and a.at < r.to))"
     lines = F.expr(f"aggregate(sizes, named_struct('at', 0, 'n', 0), (a, x) -> named_struct('at', a.at + x, 'n', a.n + if({whole}, 1, 0)), a -> a.n)")
-    rows = rows.select("row", "text", F.expr(_KEPT).alias("kept"), F.coalesce(lines, F.lit(0)).alias("n"))
+    rows = rows.select("row", "text", "kept", F.coalesce(lines, F.lit(0)).alias("n"))
     return rows.select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("removed_lines"),
         (F.length("text") - F.length("kept")).cast("long").alias("removed_chars"), F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"),
