@@ -145,8 +145,8 @@ def _unpack(data: bytes) -> np.ndarray:
 def _split(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts sorted codes shard by shard, and the shards' borders in it."""
     at = _hash((codes >> np.uint64(8)) & np.uint64((1 << 8 * _OWNED) - 1), shards)
-    order = np.argsort(at, kind="stable")
-    return order, np.searchsorted(at[order], np.arange(shards + 1))
+    order = np.argsort(at.astype(np.uint16) if shards <= 1 << 16 else at, kind="stable")  # by radix for short numbers
+    return order, np.concatenate([[0], np.cumsum(np.bincount(at, minlength=shards))])
 
 
 def _word_shard(word: bytes, shards: int) -> int:
@@ -343,18 +343,19 @@ def score_documents(docs: DataFrame, learn: Column) -> DataFrame:
                 keep[starts[np.array([not t for t in texts])] - ORDER] = True
             at, codes = at[keep], codes[keep]
             order = np.argsort(codes)
-            fresh = np.concatenate([[True], codes[order][1:] != codes[order][:-1]])
-            distinct = codes[order][fresh]
-            rank = np.empty(len(codes), np.int32)
-            rank[order] = np.cumsum(fresh) - 1
-            del codes, order, fresh
+            codes = codes[order]
+            fresh = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            distinct, times = codes[fresh], np.diff(np.append(fresh, len(codes)))
+            del codes, fresh
             by, border = _split(distinct, shards)
             p = np.empty(len(distinct), np.float32)
             for s, (a, b) in enumerate(zip(border, border[1:])):
                 if b > a:
                     p[by[a:b]] = np.frombuffer(got[0, s], "<f4")
-            p = p.astype(np.float64)[rank]
-            score = np.add.reduceat(p, np.searchsorted(at, starts))
+            each = np.empty(len(order))
+            each[order] = np.repeat(p, times)
+            score = np.add.reduceat(each, np.searchsorted(at, starts))
+            del order, each
             count: dict[bytes, int] = {}
             by_shard: dict[int, list[bytes]] = {}
             words = [t.split() for t in texts]
