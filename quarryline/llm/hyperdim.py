@@ -124,20 +124,24 @@ def prototypes(docs: DataFrame, learn: Column, dim: int = 512, n: int = 3) -> di
     return {r.lang: np.array([x.x for x in r.v]) for r in sorted(rows)}
 
 
-def predict(docs: DataFrame, protos: dict[str, np.ndarray], extra: list[Column] = (), dim: int = 512, n: int = 3) -> DataFrame:
+def predict(docs: DataFrame, protos: dict[str, np.ndarray], extra: list[Column] = (), dim: int = 512, n: int = 3, text: str = "text") -> DataFrame:
     """All columns of ``extra`` (at least the key) with lang_pred string and score double.
 
-    ``und`` with score 0 goes to a text that is null or has no letter, and to
-    all if no language was learnt.  The score is the best cosine, 0 at least.
-    Languages that score alike are taken in alphabetical order.
+    ``text`` names the column of texts, or as row.text the field of a struct
+    in ``extra``, which then goes to Python only once.  ``und`` with score 0
+    goes to a text that is null or has no letter, and to all if no language was
+    learnt.  The score is the best cosine, 0 at least.  Languages that score
+    alike are taken in alphabetical order.
     """
     langs = sorted(protos)
     unit = np.array([protos[k] / max(np.linalg.norm(protos[k]), 1e-12) for k in langs]).reshape(len(langs), dim)
-    src = docs.select(*extra, body().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text") + ", lang_pred string, score double"
+    outer, _, field = text.partition(".")
+    src = docs.select(*extra) if field else docs.select(*extra, body(text).alias("_text"))
+    kept = [f for f in src.schema if f.name != "_text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
 
-    def one(p: Profiler, text: bytes) -> tuple[str, float]:
-        v = p.profile(text) if langs else None
+    def one(p: Profiler, text: bytes | None) -> tuple[str, float]:
+        v = p.profile(text) if langs and text else None
         if v is None:
             return UNKNOWN, 0.0
         cosine = np.round(unit @ v / max(np.linalg.norm(v), 1e-12), 9)
@@ -146,10 +150,10 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], extra: list[Column]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiler(dim, n)
-        for b in batches(it):
-            lang, score = zip(*(one(p, t) for t in texts_of(b.column("_text"))))
-            kept = [x for x in b.schema.names if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(lang), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+        for b in batches(it, 2 << 20):
+            texts = b.column(outer).field(field) if field else b.column("_text")
+            lang, score = zip(*(one(p, t) for t in texts_of(texts)))
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(lang), pa.array(score, pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
 
     return src.mapInArrow(run, schema)
 
