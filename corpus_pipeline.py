@@ -25,8 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     short ones in other languages stay.
     """
     protos = hyperdim.prototypes(docs, F.lit(True))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = hyperdim.predict(kept, protos, [F.col("row")]).where((F.col("lang_pred") != hyperdim.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = hyperdim.predict(docs.select(row.alias("row")), protos, [F.col("row")], text="row.text")
+    found = found.where((F.col("lang_pred") != hyperdim.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     letters = F.length(F.regexp_replace(F.col("row.text"), r"\P{L}+", ""))
     found = found.where((F.col("score") >= CLEAR_SCORE) | (letters < ENOUGH))
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
@@ -44,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share the kept doc_id all stay.
     """
     found = oddsketch.near_duplicates(docs, k=5)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone_id"), "left_anti")
+    gone = found.where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
