@@ -40,10 +40,46 @@ def coverage(refs: DataFrame, telemetry: Column | None = None) -> DataFrame:
     return out.select("technique", F.when(n >= 2, 3).when(n == 1, 2).when(F.lit(False) if telemetry is None else telemetry, 1).otherwise(0).alias("score"), "rule_count", "corpora")
 
 
+def coverage_of(wanted: DataFrame, refs: DataFrame, telemetry: DataFrame | None = None) -> DataFrame:
+    """technique, score, rule_count, corpora, formats of every wanted technique (report, technique), by report.
+
+    refs: technique (a rule's tag), corpus, native_key, format.  A tag also covers
+    the sub-techniques of what it names.  A native key belongs to its first corpus
+    among a report's refs; two owners score 3, one 2, telemetry (technique) alone
+    1, nothing 0.  ``formats`` has rule_count and corpora for each format.
+    """
+    asked = wanted.select("report", F.upper("technique").alias("technique")).where("technique <> ''").distinct()
+    asked = asked.withColumn("parent", F.when(F.contains("technique", F.lit(".")), F.substring_index("technique", ".", 1)))
+    covers = rolled_up(asked, "technique", "parent").select("report", "technique", F.col("covers").alias("tag"))
+    held = covers.join(refs.select(F.upper("technique").alias("tag"), "corpus", "native_key", "format").distinct(), "tag")
+    owner = held.groupBy("report", "native_key").agg(F.min("corpus").alias("owner"), F.min("format").alias("format"))
+    keys = held.select("report", "technique", "native_key").distinct().join(owner, ["report", "native_key"])
+    each = [F.struct(F.lit(f).alias("format"), F.count_if(F.col("format") == f).alias("rule_count"), F.sort_array(F.collect_set(F.when(F.col("format") == f, F.col("owner")))).alias("corpora")) for f in FORMATS]
+    found = keys.groupBy("report", "technique").agg(F.count(F.lit(1)).alias("rule_count"), F.sort_array(F.collect_set("owner")).alias("corpora"), F.array(*each).alias("formats"))
+    none = F.array(*[F.struct(F.lit(f).alias("format"), F.lit(0).cast("long").alias("rule_count"), F.array().cast("array<string>").alias("corpora")) for f in FORMATS])
+    out = asked.select("report", "technique").join(found, ["report", "technique"], "left")
+    known = (asked.select("technique").limit(0) if telemetry is None else telemetry.select(F.upper("technique").alias("technique"))).distinct().withColumn("seen", F.lit(True))
+    out = out.join(known, "technique", "left")
+    n = F.coalesce(F.size("corpora"), F.lit(0))
+    score = F.when(n >= 2, 3).when(n == 1, 2).when(F.coalesce("seen", F.lit(False)), 1).otherwise(0)
+    return out.select("report", "technique", score.alias("score"), F.coalesce("rule_count", F.lit(0)).alias("rule_count"), F.coalesce("corpora", F.array().cast("array<string>")).alias("corpora"), F.coalesce("formats", none).alias("formats"))
+
+
 def axis(col: Column, blank: str = "unknown") -> Column:
     return F.lower(F.coalesce(F.nullif(F.btrim(col), F.lit("")), F.lit(blank)))
 
 
+def grouped(rows: DataFrame, body: str) -> DataFrame:
+    """technique, n_rules, rules (rule_id, corpus, title, format in order), with_bodies, rank: most rules first.
+
+    ``body`` says whether a rule's body is asked for; a list in one row is one
+    technique's, as a reader of the store's pages gets it.
+    """
+    one = F.sort_array(F.collect_list(F.struct("corpus", "title", "rule_id", "format")))
+    out = rows.groupBy("technique").agg(F.count(F.lit(1)).alias("n_rules"), one.alias("rules"), F.count_if(body).alias("with_bodies"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_rules"), "technique")))
+
+
 def facets(rules: DataFrame, axes: tuple[str, ...], size: str) -> DataFrame:
     """axis, value, rules, chars: all axes by one scan."""
     clean = rules.select(*[axis(F.col(a)).alias(a) for a in axes], F.col(size).alias("chars"))

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import quarryline.plans  # noqa: F401  adds queries to the catalogue
 from quarryline import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
