@@ -59,7 +59,7 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- indicators and text ---------------------------------------------------------
 
 _IPV4 = r"""SELECT doc_id, p AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '[^0-9.]+')) p FROM documents)
-  WHERE regexp_full_match(p, '((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')"""
+  WHERE regexp_full_match(p, '((25[0-5]|2[0-4][0-9]|[01][0-9]{2}|[0-9]{1,2})\.){3}(25[0-5]|2[0-4][0-9]|[01][0-9]{2}|[0-9]{1,2})')"""
 _HASH = """SELECT doc_id, lower(p) AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '[^0-9a-zA-Z]+')) p FROM documents)
   WHERE regexp_full_match(p, '[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32}')"""
 _EMAIL = r"SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS value FROM documents"
@@ -457,7 +457,7 @@ def observable_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[/?#].*$', ''), ':[0-9]*$', '')) AS host FROM pages")
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", review.url_host(F.col("url")).alias("host"))
+    return _t(spark, sf_dir, "pages").select("page_id", T.url_host(F.col("url")).alias("host"))
 
 
 _EDGE_SQL = """SELECT CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END accepted, l_discount * 10 confidence,

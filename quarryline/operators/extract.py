@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: All kinds, in the order in which they are looked for.
+KINDS = ("hash", "ipv4", "ipv6", "url", "email", "domain", "cve", "technique", "mac", "asn", "path", "filename", "registry")
+
+
 def indicators(docs: DataFrame, kinds: tuple[str, ...] = ("hash", "ipv4", "email"), key: str = "doc_id", col: str = "text") -> DataFrame:
-    """key, kind, value once per text, with the place of its first match in the order of kinds."""
+    """key, kind, value once per text, with the place of its first match in the order of kinds.
+
+    Values that differ in case only are one, written as first found.
+    """
     def placed(n: int, kind: str) -> Column:
         first = F.lit(n << 32)
         return F.transform(T.found(F.col(col), kind), lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), (first + i).alias("place")))
 
     each = F.concat(*[placed(n, k) for n, k in enumerate(kinds)])
     rows = docs.select(key, F.explode(each).alias("e")).select(key, "e.*")
-    return rows.groupBy(key, "kind", "value").agg(F.min("place").alias("place"))
+    first = rows.groupBy(key, "kind", F.lower("value").alias("low")).agg(F.min(F.struct("place", "value")).alias("first"))
+    return first.select(key, "kind", "first.value", "first.place")
 
 
 def sentence_table(docs: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Object types whose pattern is type:property = 'value'.
 PATTERN_PROPERTY = {
     "ipv4-addr": "value", "ipv6-addr": "value", "domain-name": "value", "url": "value", "email-addr": "value", "mac-addr": "value",
@@ -38,13 +40,6 @@ def stix_pattern(kind: Column, value: Column) -> Column:
     )
 
 
-def url_host(url: Column) -> Column:
-    """Host of a URL by its letters: no scheme, user, port or brackets; lower case."""
-    rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[/?#].*$", "")
-    rest = F.regexp_replace(rest, r"^.*@", "")
-    return F.lower(F.when(rest.startswith("["), F.regexp_extract(rest, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(rest, r":\d*$", "")))
-
-
 def observables(rows: DataFrame, key: str, kind: str = "kind", value: str = "value", least: int = 4) -> DataFrame:
     """key, class, value: what a rule could match of each entity, lower-cased and distinct.
 
@@ -55,7 +50,7 @@ def observables(rows: DataFrame, key: str, kind: str = "kind", value: str = "val
     pair = lambda c, x: F.struct(F.lit(c).alias("class"), x.alias("value"))
     base = F.regexp_extract(v, r"([^\\/]*)$", 1)
     each = (
-        F.when(k == "url", F.array(pair("url", v), pair("domain", url_host(v)))).when(k == "email", F.array(pair("email", v), pair("domain", F.substring_index(v, "@", -1))))
+        F.when(k == "url", F.array(pair("url", v), pair("domain", T.url_host(v)))).when(k == "email", F.array(pair("email", v), pair("domain", F.substring_index(v, "@", -1))))
         .when(k == "file", F.array(pair("path", v), pair("file", base))).otherwise(F.array(F.struct(k.alias("class"), v.alias("value"))))
     )
     return rows.select(key, F.explode(each).alias("e")).select(key, "e.class", "e.value").where(F.length("value") >= least).distinct()
