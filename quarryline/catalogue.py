@@ -210,18 +210,9 @@ def exact_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms.join(seen, "s_suppkey").join(F.broadcast(classes), ["oc", "ac"]).select("rule_id", "atom", F.col("s_suppkey").alias("observable")).distinct()
 
 
-@query("""SELECT DISTINCT p_name AS atom, n AS needle FROM (SELECT DISTINCT p_name FROM part) p, (SELECT DISTINCT p_brand n FROM part UNION SELECT DISTINCT substr(p_name, 1, 10) FROM part WHERE p_partkey <= 50) q
-WHERE p_name <> n AND length(n) >= 8 AND contains(p_name, n) AND length(n) >= 0.5 * length(p_name)""")
-def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _t(spark, sf_dir, "part")
-    needles = part.select(F.col("p_brand").alias("needle")).union(part.where("p_partkey <= 50").select(F.substring("p_name", 1, 10))).distinct()
-    fits = (F.col("p_name") != F.col("needle")) & (F.length("needle") >= 8) & F.contains("p_name", "needle") & (F.length("needle") >= 0.5 * F.length("p_name"))
-    return part.select("p_name").distinct().join(needles, fits).select(F.col("p_name").alias("atom"), "needle")
-
-
 @query("""SELECT p_name AS atom, n AS needle FROM (SELECT DISTINCT p_name FROM part) p, (SELECT p_brand n FROM part UNION SELECT p_name FROM part) q
 WHERE p_name <> n AND least(length(n), length(p_name)) >= 8 AND (contains(p_name, n) OR contains(n, p_name)) AND least(length(n), length(p_name)) >= 0.5 * greatest(length(n), length(p_name))""")
-def substring_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     return rules.contained(part.select(F.col("p_name").alias("atom")), part.select(F.explode(F.array("p_name", "p_brand")).alias("needle")))
 
@@ -267,14 +258,9 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("corpus", "license").agg(F.count(F.lit(1)).alias("rules"), F.sum(F.col("is_canonical").cast("long")).alias("canonical"))
 
 
-@query(f"""WITH {RULES} SELECT r.rule_id, array_to_string(list_sort(list_filter(list(DISTINCT o.corpus), lambda x: x <> any_value(r.corpus))), ',') AS also_in
-FROM (SELECT rule_id, corpus, title FROM rules WHERE rule_id % 50 = 0) r JOIN (SELECT DISTINCT title, corpus FROM rules) o ON r.title = o.title GROUP BY r.rule_id""".replace("list_filter(list(DISTINCT o.corpus), lambda x: x <> any_value(r.corpus))", "list(DISTINCT o.corpus) FILTER (o.corpus <> r.corpus)"))
+@query(f"""WITH {RULES} SELECT r.rule_id, array_to_string(list_sort(list(DISTINCT o.corpus) FILTER (o.corpus <> r.corpus)), ',') AS also_in
+FROM rules r JOIN (SELECT DISTINCT title, corpus FROM rules) o ON r.title = o.title GROUP BY r.rule_id""")
 def also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return also_in_all(spark, sf_dir).where("rule_id % 50 = 0")  # as its SQL says
-
-
-@query(ORACLES["also_in"].replace(" WHERE rule_id % 50 = 0", ""))
-def also_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rules(spark, sf_dir)
     others = rows.groupBy("title").agg(F.collect_set("corpus").alias("all"))
     return rows.join(others, "title").select("rule_id", F.concat_ws(",", F.sort_array(F.array_except("all", F.array("corpus")))).alias("also_in"))
@@ -289,7 +275,7 @@ def export_filter_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graph -----------------------------------------------------------------------
 
-EDGES = """edges AS (SELECT DISTINCT l_suppkey src, ['uses', 'variant-of', 'exploits', 'indicates'][l_linenumber % 4 + 1] verb, l_partkey % 97 tgt, CAST(l_quantity AS INT) confidence FROM lineitem WHERE l_orderkey % 40 = 0)"""
+EDGES = """edges AS (SELECT DISTINCT l_suppkey src, ['uses', 'variant-of', 'exploits', 'indicates'][l_linenumber % 4 + 1] verb, l_partkey % 97 tgt, CAST(l_quantity AS INT) confidence FROM lineitem)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,11 +290,6 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.src, t.verb, b.tgt, max(CAST(floor(least(a.confidence, b.confidence) / 100 * 0.9 * 100) AS INT)) AS confidence FROM edges a JOIN edges b ON a.tgt = b.src JOIN t ON t.v1 = a.verb AND t.v2 = b.verb
 WHERE a.src <> b.tgt AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.verb = t.verb AND e.tgt = b.tgt) GROUP BY ALL ORDER BY 1, 2, 3 LIMIT 200""")
 def transitive_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.composed(_edges(spark, sf_dir).where("l_orderkey % 40 = 0"))  # as its SQL says
-
-
-@query(ORACLES["transitive_compose"].replace(" WHERE l_orderkey % 40 = 0", ""))
-def transitive_compose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.composed(_edges(spark, sf_dir))
 
 
@@ -374,7 +355,7 @@ def prf_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAREST = """SELECT q.vec_id AS query, c.vec_id AS hit, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id DESC) AS rank
-FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 <> 0 QUALIFY rank <= 5"""
+FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 5"""
 
 
 @query(_NEAREST)

@@ -102,8 +102,9 @@ def grounding(relations: DataFrame, docs: DataFrame, sentences: DataFrame, windo
     both = lambda t: _inside(t, F.col("a"), F.col("b"))
     near = ends.join(wide, "report").groupBy("report", "rel").agg(F.max(both(F.col("s"))).alias("one"), F.max(both(F.col("w"))).alias("few"))
     rows = ends.join(docs.select("report", F.lower("text").alias("text")), "report").join(near, ["report", "rel"], "left")
-    places = lambda c: F.expr(f"filter(transform(split(text, concat('\\\\Q', {c}, '\\\\E'), -1), (x, i) -> aggregate(slice(split(text, concat('\\\\Q', {c}, '\\\\E'), -1), 1, i), 0, (n, y) -> n + length(y) + length({c}))), (p, i) -> i > 0)")
-    close = F.exists(places("a"), lambda p: F.exists(places("b"), lambda q: F.abs(p - F.length("a") - (q - F.length("b"))) <= proximity))
+    # one end begins, and the other does so within as many characters
+    follows = lambda x, y: F.regexp_like("text", F.concat(F.lit(r"(?s)(?=\Q"), F.col(x), F.lit(rf"\E).{{0,{proximity}}}\Q"), F.col(y), F.lit(r"\E")))
+    close = follows("a", "b") | follows("b", "a")
     quote = F.substring("e", 1, 40)
     grade = (
         F.when(both(F.col("text")) & F.coalesce("one", F.lit(False)), "cosentence").when(both(F.col("text")) & F.coalesce("few", F.lit(False)), "window")
@@ -123,7 +124,7 @@ def completion_scores(added: DataFrame, accept: DataFrame, reject: DataFrame, cl
 
 def turnaround(jobs: DataFrame) -> DataFrame:
     """minutes: mean time of completed jobs (status, created, updated) that took between none and a day."""
-    took = (F.unix_micros("updated") - F.unix_micros("created")) / 6e7
+    took = (F.unix_micros(F.col("updated").cast("timestamp")) - F.unix_micros(F.col("created").cast("timestamp"))) / 6e7
     return jobs.where("status = 'completed'").select(took.alias("m")).where("m > 0 and m < 1440").agg(F.avg("m").alias("minutes"))
 
 

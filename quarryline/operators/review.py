@@ -100,3 +100,55 @@ def selection(rows: DataFrame, scope: str, excluded: DataFrame, ident: str, size
     rows = rows.join(out, ident, "left").withColumn("_in", F.col("_out").isNull())
     sums = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.count_if("_in").alias("selected"), F.coalesce(F.sum(F.when(F.col("_in"), F.col(size))), F.lit(0)).alias("bytes"))
     return sums.select(scope, F.when(F.col("selected") == F.col("n"), "all").when(F.col("selected") == 0, "none").otherwise("some").alias("state"), "selected", "bytes")
+
+
+def bulk(rows: DataFrame, kind: str, action: str, scope: str = "pending") -> DataFrame:
+    """Entities with ``accepted`` set for one type: accept, reject or reset, of pending rows or all."""
+    if action not in ("accept", "reject", "reset") or scope not in ("pending", "all") or (action, scope) == ("reset", "pending"):
+        raise ValueError(f"no such update: {action} of {scope}")
+    to = {"accept": F.lit(True), "reject": F.lit(False), "reset": F.lit(None).cast("boolean")}[action]
+    hit = F.col("entity_type") == kind
+    if scope == "pending":
+        hit &= F.col("accepted").isNull()
+    return rows.withColumn("accepted", F.when(hit, to).otherwise(F.col("accepted")))
+
+
+def unrejected(rows: DataFrame, entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Rows (report, name, id) whose name or id no rejected entity (report, entity_type, value, mitre_id, accepted) of these types has."""
+    gone = entities.where(F.col("entity_type").isin(*kinds) & ~F.coalesce("accepted", F.lit(True)))
+    names = gone.select("report", F.lower(F.btrim("value")).alias("_v")).distinct()
+    ids = gone.select("report", F.lower(F.btrim("mitre_id")).alias("_v")).where("_v <> ''").distinct()
+    rows = rows.withColumn("_v", F.lower(F.btrim("name"))).join(names, ["report", "_v"], "left_anti")
+    return rows.withColumn("_v", F.lower(F.btrim("id"))).join(ids, ["report", "_v"], "left_anti").drop("_v")
+
+
+def uncovered(raw: DataFrame, resolved_ids: DataFrame) -> DataFrame:
+    """Raw techniques (report, id) that neither a resolved one (report, id) nor a sub-technique of theirs covers."""
+    ids = resolved_ids.select("report", F.upper("id").alias("_i"))
+    cover = ids.unionAll(ids.where("contains(_i, '.')").select("report", F.substring_index("_i", ".", 1))).distinct()
+    return raw.withColumn("_i", F.upper("id")).join(cover, ["report", "_i"], "left_anti").drop("_i")
+
+
+def has_signals(chunks: DataFrame, names: DataFrame, least: int = 200) -> DataFrame:
+    """chunks (report, chunk_no, chunk, entities) with ``signals``: long enough, and with an entity or a name (report, value) of its report in it."""
+    low = chunks.select("report", "chunk_no", F.lower("chunk").alias("_c"))
+    held = low.join(names.select("report", F.lower("value").alias("_v")).distinct(), "report").where(F.contains("_c", "_v")).select("report", "chunk_no", F.lit(True).alias("_named")).distinct()
+    rows = chunks.join(held, ["report", "chunk_no"], "left")
+    long = F.length(F.regexp_replace("chunk", r"^\s+|\s+$", "")) >= least
+    return rows.withColumn("signals", long & ((F.col("entities") > 0) | F.col("_named").isNotNull())).drop("_named")
+
+
+def sure_techniques(rows: DataFrame, least: float = 0.55, most: int = 5) -> DataFrame:
+    """report, techniques: the ``most`` surest techniques (report, name, id, confidence), as one line."""
+    place = F.row_number().over(Window.partitionBy("report").orderBy(F.desc("confidence"), "id"))
+    top = rows.where((F.col("confidence") >= least) & (F.coalesce("id", F.lit("")) != "")).withColumn("_n", place).where(F.col("_n") <= most)
+    text = F.concat("name", F.lit(" ("), "id", F.lit(")"))
+    one = F.sort_array(F.collect_list(F.struct("_n", text.alias("t"))))
+    return top.groupBy("report").agg(one.alias("l")).select("report", F.array_join(F.transform("l", lambda x: x.t), ", ").alias("techniques"))
+
+
+def prompt_indicators(rows: DataFrame, most: int = 30) -> DataFrame:
+    """report, kind, value, omitted: the first ``most`` indicators (report, kind, value, pos) by kind and place, and how many aren't shown."""
+    whole = Window.partitionBy("report")
+    ranked = rows.withColumn("_n", F.row_number().over(whole.orderBy("kind", "pos"))).withColumn("_all", F.count(F.lit(1)).over(whole))
+    return ranked.where(F.col("_n") <= most).select("report", "kind", "value", F.greatest(F.lit(0), F.col("_all") - most).alias("omitted"))

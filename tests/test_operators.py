@@ -94,7 +94,7 @@ def test_composition_takes_every_edge(spark):
             key = (a, table.get((v1, v2)), b)
             if key[1] and a != b and key not in edges:
                 want[key] = max(want.get(key, 0), int(min(c1, c2) / 100 * 0.9 * 100))
-    got = [tuple(r) for r in catalogue.QUERIES["transitive_compose_all"](spark, sf).select("src", "verb", "tgt", "confidence").collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["transitive_compose"](spark, sf).select("src", "verb", "tgt", "confidence").collect()]
     assert sorted(got) == [(*k, want[k]) for k in sorted(want)[:200]]
 
 
@@ -117,7 +117,7 @@ def test_every_rule_and_vector_is_searched(spark, tmp_path):
     from quarryline import catalogue
 
     sf = "/root/testdata/sf0.001"
-    assert catalogue.QUERIES["also_in_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert catalogue.QUERIES["also_in"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     rows = [(100, [1.0, 0.0], 1), (200, [1.0, 0.1], 1), (300, [0.0, 1.0], 0), *[(k, [-1.0, float(k)], 0) for k in range(1, 8)]]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["query"], r["rank"]): r["hit"] for r in catalogue.QUERIES["cosine_topk"](spark, str(tmp_path)).collect()}
