@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quarryline.functions import text as T
 from quarryline.operators import review
 from quarryline.sources import rulefiles
 
@@ -81,7 +82,7 @@ def test_patterns_and_hosts(spark):
     rows = spark.createDataFrame([("url", r"http://U:p@[::1]:80/x'y\z"), ("autonomous-system", "AS 12"), ("autonomous-system", "ASx"), ("hash", "a" * 32), ("file", " a.exe "), ("other", "x"), ("url", None)], "k string, v string")
     got = [r.p for r in rows.select(review.stix_pattern(F.col("k"), F.col("v")).alias("p")).collect()]
     assert got == [r"[url:value = 'http://U:p@[::1]:80/x\'y\\z']", "[autonomous-system:number = 12]", None, f"[file:hashes.MD5 = '{'a' * 32}']", "[file:name = 'a.exe']", None, None]
-    hosts = spark.createDataFrame([("http://u@[::1]:8/x",), ("HTTPS://A.b:1?c@d",), ("a.c/x",), (None,)], "u string").select(review.url_host(F.col("u")).alias("h")).collect()
+    hosts = spark.createDataFrame([("http://u@[::1]:8/x",), ("HTTPS://A.b:1?c@d",), ("a.c/x",), (None,)], "u string").select(T.url_host(F.col("u")).alias("h")).collect()
     assert [r.h for r in hosts] == ["::1", "a.b", "a.c", None]
 
 
