@@ -2,64 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[weakref.ref, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where it is unset, as
-    in tests, is a folder in the warehouse used instead.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def save(df: DataFrame, name: str, light: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor repeats no earlier stage, and gives
-    the planner the true size, by which it decides on broadcasts and splits
-    hot keys of joins.  A ``light`` table, of a few numbers for each document
-    at most, is written by four tasks for each core rather than one for each
-    shuffle partition, as opening a file is what takes long there.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/quarryline-{uuid.uuid4().hex}/{name}"
-    _SCRATCH.append((weakref.ref(spark), path))
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if light else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables; results that still read them become invalid."""
-    jvm = spark._jvm
-    while _SCRATCH:
-        _, path = _SCRATCH.pop()
-        at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _SCRATCH:
-        try:
-            release(spark)
-        except Exception:  # noqa: BLE001  the JVM may be gone
-            pass
-
-
-atexit.register(_at_exit)
+from ..scratch import release, save, scratch_root  # noqa: F401  for the operators here
 
 
 def tokenizer_path(name: str) -> str:

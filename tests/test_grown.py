@@ -1,11 +1,14 @@
 """What larger tables brought up."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import quarryline.plans  # noqa: F401  adds queries to the catalogue
-from quarryline import catalogue
+from quarryline import catalogue, scratch
+from quarryline.operators import graph, relations
 
 
 def sql_rows(name: str, folder, *tables: str) -> list[tuple]:
@@ -22,3 +25,41 @@ def test_artefacts_of_texts_with_own_domains(spark, tmp_path):
     assert sorted(got) == sorted(sql_rows("artefacts", tmp_path, "documents"))
     whole = {tuple(r) for r in catalogue.QUERIES["artefacts_all"](spark, str(tmp_path)).collect()}
     assert {(1, "domain", "and.ks"), (1, "domain", "le.rd"), (1, "asn", "AS3"), (1, "technique", "T1234"), (2, "asn", "AS2")} <= whole
+
+
+def saved(spark, monkeypatch, few: int) -> list[str]:
+    """Names of the tables that get saved from now on, with ``few`` rows as the most to be broadcast."""
+    names, real = [], scratch.save
+
+    def save(df, name, light=False):
+        names.append(name)
+        return real(df, name, light)
+
+    monkeypatch.setattr(scratch, "save", save)
+    monkeypatch.setattr(scratch, "FEW", few)
+    return names
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_composition_has_no_exchange_of_all_pairs(spark, monkeypatch, few):
+    saved(spark, monkeypatch, few)
+    edges = spark.range(4000).selectExpr("id % 200 src", "array('uses', 'variant-of', 'exploits', 'indicates', 'other')[id * 7 % 5] verb", "id * 13 % 31 tgt", "cast(id % 50 + 1 as int) confidence")
+    edges = edges.unionAll(spark.sql("select 3L, 'uses', 3L, cast(null as int)"))
+    best = {}
+    for s, v, t, c in edges.collect():
+        best[s, v, t] = max(best.get((s, v, t), 0), 50 if c is None else c)
+    want = {}
+    for (s, v1, m), c1 in best.items():
+        for (x, v2, t), c2 in best.items():
+            if m == x and s != t:
+                for a, b, v in graph.TRANSITIVE:
+                    if (a, b) == (v1, v2) and (s, v, t) not in best:
+                        want[s, v, t] = max(want.get((s, v, t), 0), math.floor(min(c1, c2) / 100 * 0.9 * 100))
+    made = graph.composed(edges, None)
+    assert {tuple(r)[:3]: r[3] for r in made.collect()} == want and made.count() == len(want)
+    if few:
+        assert made._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1  # all by src
+    types = edges.select(F.col("src").alias("id")).union(edges.select("tgt")).distinct().withColumn("type", F.expr("array('malware', 'tool', 'location')[id % 3]"))
+    ok = {tuple(r) for r in relations.suggestions(spark).select("src_type", "verb", "tgt_type").collect()}
+    kind = lambda i: ("malware", "tool", "location")[i % 3]
+    assert {tuple(r)[:3] for r in relations.guarded_composition(edges, types, 10**6).collect()} == {k for k in want if (kind(k[0]), k[1], kind(k[2])) in ok}
