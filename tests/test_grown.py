@@ -63,3 +63,23 @@ def test_composition_has_no_exchange_of_all_pairs(spark, monkeypatch, few):
     ok = {tuple(r) for r in relations.suggestions(spark).select("src_type", "verb", "tgt_type").collect()}
     kind = lambda i: ("malware", "tool", "location")[i % 3]
     assert {tuple(r)[:3] for r in relations.guarded_composition(edges, types, 10**6).collect()} == {k for k in want if (kind(k[0]), k[1], kind(k[2])) in ok}
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_grounded_pairs_only_what_comes_first(spark, monkeypatch, copies):
+    names = saved(spark, monkeypatch, 1000)
+    monkeypatch.setattr(relations, "save", scratch.save)
+    objects = spark.range(300).selectExpr("id", "array('malware', 'tool', 'attack-pattern')[id % 3] type", "concat('A', id % 7) attack_id")
+    if copies > 1:
+        objects = objects.unionAll(objects.where("id % 5 = 0").withColumn("attack_id", F.lit("A3")))
+    known = spark.range(60).selectExpr("concat('A', id % 7) src_id", "array('uses', 'targets', 'variant-of')[id % 3] verb", "concat('A', id * 3 % 7) tgt_id")
+    edges = spark.range(20000).selectExpr("id % 40 src", "'uses' verb", "id * 7 % 300 tgt")
+    whole = sorted(tuple(r) for r in relations.grounded(objects, known, edges, None).collect())
+    some = [tuple(r) for r in relations.grounded(objects, known, edges, 200).collect()]
+    assert len(some) == 200 and [r[:3] for r in some] == [r[:3] for r in whole][:200]
+    assert set(some) <= set(whole) and "sure" in names
+    there, obj = {tuple(r) for r in edges.collect()}, [tuple(r) for r in objects.collect()]
+    ok = {tuple(r) for r in relations.suggestions(spark).select("src_type", "verb", "tgt_type").collect()} | {(k, v, k) for k in ("malware", "tool", "attack-pattern") for v in ("derived-from", "duplicate-of")}
+    pairs = {tuple(r) for r in known.collect()}
+    want = [(x, v, y, f"attack-reference:{i}>{j}") for x, s, i in obj for y, t, j in obj if x != y for v in ("uses", "targets", "variant-of") if (i, v, j) in pairs and (s, v, t) in ok and (x, v, y) not in there]
+    assert sorted(r[:3] + r[5:] for r in whole) == sorted(want)
