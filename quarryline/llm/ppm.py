@@ -271,11 +271,13 @@ def score_documents(docs: DataFrame, learn: Column) -> DataFrame:
         block = group.column("block")[0].as_py()
         texts = [t.lower() for t in texts_of(group.column("text"))]
         on = group.column("learn").to_pylist()
-        codes = np.unique(of_block(texts))
-        mine = [t for t, x in zip(texts, on) if x]
-        trained = np.sort(of_block(mine)) if mine else np.empty(0, np.uint64)
-        n = np.searchsorted(trained, codes, "right") - np.searchsorted(trained, codes, "left")
-        del trained
+        # one sort for both: the lowest bit says whether a code is one to learn
+        each = [of_block([t for t, x in zip(texts, on) if x == y]) << np.uint64(1) | np.uint64(y) for y in (False, True) if y in on]
+        each = np.sort(np.concatenate(each))
+        codes = each >> np.uint64(1)
+        fresh = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        codes, n = codes[fresh], np.add.reduceat((each & np.uint64(1)).astype(np.int64), fresh)
+        del each, fresh
         order, border = _split(codes, shards)
         codes, n = codes[order], n[order].astype("<u4")
         out = [(s, block, 0, _pack(codes[a:b]), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(border, border[1:])) if b > a]
