@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import release, save, scratch_root  # noqa: F401  for the operators here
+from ..scratch import discard, release, save, scratch_root  # noqa: F401  for the operators here
 
 
 def tokenizer_path(name: str) -> str:

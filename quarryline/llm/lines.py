@@ -19,7 +19,9 @@ windows of one span are never equal, as the fingerprint lies elsewhere in them.
 Everything is DataFrame expressions.  A span or window is joined to one first
 occurrence, never to all others, so a passage in a third of all documents makes
 as many rows as it has copies; aggregations before are partial, and both sides
-of a join on hashes are saved tables, whose hot keys Spark can split.
+of a join on hashes are saved tables, whose hot keys Spark can split.  Such joins
+are by merging at any size, so that work and disk grow with the input; a table
+goes as soon as no later step reads it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, save
+from .common import body, discard, save
 
 #: A line begins after a newline, after a sentence's end and a space, and at a capital letter after a space.
 CUT = r"(?<=\n)|(?<=[.!?]\s)|(?<=\s)(?=\p{Lu})"
@@ -115,13 +117,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = save(_spans(keyed, n), "spans")
     often = save(spans.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "often", light=True)
     again = save(_having(spans, often), "again")
+    discard(spans, often)
     texts = again.groupBy("fp", "c").agg(F.min(_at("d", "from")).alias("x"), F.count(F.lit(1)).alias("copies"))
-    texts = save(texts, "texts", light=True)
-    several = save(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("fp", F.lit(True).alias("ask")), "several", light=True)
-    texts = texts.join(several, "fp", "left").where("copies > 1 or ask").select("fp", "c", "x", F.coalesce("ask", F.lit(False)).alias("ask"))
+    firsts = save(texts, "texts", light=True)
+    several = save(firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("fp", F.lit(True).alias("ask")), "several", light=True)
+    texts = firsts.join(several.hint("merge"), "fp", "left").where("copies > 1 or ask").select("fp", "c", "x", F.coalesce("ask", F.lit(False)).alias("ask"))
     later = _at("d", "from") > F.col("x")
-    found = again.join(save(texts, "kinds", light=True), ["fp", "c"]).select("d", "th", "from", "to", later.alias("later"), "ask").where("later or ask")
+    kinds = save(texts, "kinds", light=True)
+    found = again.join(kinds.hint("merge"), ["fp", "c"]).select("d", "th", "from", "to", later.alias("later"), "ask").where("later or ask")
     found = save(found, "found", light=True)
+    discard(again, firsts, several, kinds)
     asked = save(found.where("not later").groupBy("d", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "asked", light=True)
     each = F.expr(f"""
         transform(array(words), w -> flatten(transform(spans, s -> transform(sequence(s.from, s.to),
@@ -129,13 +134,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = _having(keyed, asked.select("d", "th")).join(asked, ["d", "th"]).select("d", "th", "spans", _words(F.col("text")).alias("words"))
     windows = save(rows.select("d", "th", F.explode_outer(each).alias("w")).select("d", "th", "w.*"), "windows")
     first = windows.groupBy("win").agg(F.min(_at("d", "pos")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    late = windows.join(save(first, "first", light=True), "win").where(_at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), F.col("pos").alias("to"))
+    first = save(first, "first", light=True)
+    late = windows.join(first.hint("merge"), "win").where(_at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), F.col("pos").alias("to"))
     gone = found.where("later").select("d", "th", "from", "to").unionAll(late).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("at"))
     runs = gone.select("d", "th", F.expr(f"""
         transform(array(at), p -> zip_with(
           filter(p, (x, i) -> i = 0 or x.from > p[i - 1].to + {n}), filter(p, (x, i) -> i = size(p) - 1 or p[i + 1].from > x.to + {n}),
           (x, y) -> named_struct('from', x.from, 'to', y.to + {n})))[0]""").alias("runs"))
-    return save(runs, "runs", light=True)
+    runs = save(runs, "runs", light=True)
+    discard(found, asked, windows, first)
+    return runs
 
 
 def _pieces(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import quarryline.plans  # noqa: F401  adds queries to the catalogue
 from quarryline import catalogue, scratch
+from quarryline.llm import lines
 from quarryline.operators import graph, ranking, relations, rules
 
 
@@ -183,3 +184,11 @@ def test_proposals_by_signatures(spark, monkeypatch, few, batch):
     # pairs of a report and a rule are neither shuffled nor sorted
     plan = ranking.Signs(*tables[:5], 100).pairs()._jdf.queryExecution().sparkPlan().toString()
     assert not any(x in plan for x in ("Sort", "Aggregate", "Window", "Join", "Exchange")) and plan.count("MapInArrow") == 1
+
+
+def test_line_tables_go_when_read(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"start{i} {text} end{i}") for i in range(6)], "doc_id long, text string")
+    before = len(scratch._SCRATCH)
+    assert lines.repeated_runs(docs).count() == 5
+    assert [p.rsplit("/", 1)[1] for _, p in scratch._SCRATCH[before:]] == ["runs"]
