@@ -38,6 +38,8 @@ ENDS, MARK = r"[.!?]\s|\s(?=\p{Lu})|\n", "\x01"
 MIN_WORDS = 40
 #: Words in a row that a fingerprint goes over, and those of them it is made of.
 GRAM, PICKED = 12, (0, 2, 5, 8, 11)
+#: Of so many pairs of words one is of the lower class; a power of 2.
+RARE = 8
 #: Rows of up to 16 bytes that may be broadcast; with more, the other side is shuffled too.
 FEW = 2_000_000
 _BLANK = " \t\n\x0b\x0c\r"
@@ -66,44 +68,39 @@ def _part(array: str, first: str, last: str) -> str:
     return f"transform(sequence({first}, {last}), e -> {array}[e])"
 
 
-def _at(d: str, pos: str) -> Column:
-    """A place as one number, whose least an aggregation can keep in place."""
-    return (F.col(d).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(pos)).cast("decimal(38,0)")
+def _hashes(text: Column) -> Column:
+    """The words' hashes, which stand for them from here on."""
+    return F.transform(_words(text), lambda x: F.xxhash64(x))
+
+
+def _places(keyed: DataFrame):
+    """The function that makes a place one number, whose least an aggregation can keep in place: a long if ids fit into 31 bits, else a decimal."""
+    low, high = keyed.agg(F.min("d"), F.max("d")).first()
+    if low is None or (low >= 0 and high < 1 << 31):
+        return lambda d, pos: F.shiftleft(d, 32).bitwiseOR(F.col(pos).cast("long"))
+    return lambda d, pos: (F.col(d).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(pos)).cast("decimal(38,0)")
 
 
 def _spans(keyed: DataFrame, n: int) -> DataFrame:
-    """d, th, from, to, fp, c: spans of windows [from, to] of ``n`` words, their fingerprint, a hash of their words and some after them."""
+    """d, th, from, to, fp, c: spans of windows [from, to] of ``n`` words, their fingerprint, a hash of their words."""
     k = min(GRAM, n)
     w = n - k + 1  # grams that start in a window
-    kind = "array<struct<from: int, to: int, at: int>>"
-    span = lambda first, last, at: f"named_struct('from', {first}, 'to', least({last}, size(w) - {n}), 'at', {at})"
-    # w, marks and so on are bound in lambdas: as columns they could be put in their place and then be made anew for each element
-    # marks: twice the place of each pair of words of the two lower classes, plus 1 for the second
-    pair = "xxhash64(x, get(w, i + 1))"
-    marks = f"array_compact(transform(w, (x, i) -> if(({pair} & 3) = 0, 2 * i + if(({pair} & 15) = 0, 0, 1), null)))"
-    tops = "array_compact(transform(marks, (m, i) -> if((m & 1) = 0, i, null)))"
-    # windows without the lowest class, between those at p.a and p.b: y are the marks there, and windows without one have their own start
-    each = f"""transform(array(named_struct('a', coalesce(shiftright(get(ys, q - 1), 1), p.a), 'b', coalesce(shiftright(get(ys, q), 1), p.b))), y -> concat(
-      if(least(y.b - {w}, size(w) - {n}) > y.a, transform(sequence(y.a + 1, least(y.b - {w}, size(w) - {n})), i -> {span("i", "i", "i")}), cast(array() as {kind})),
-      if(q < size(ys), array({span(f"greatest(y.a + 1, y.b - {w - 1})", f"least(y.b, p.b - {w})", "y.b")}), cast(array() as {kind}))))[0]"""
-    gap = f"transform(array(if(g.b > g.a + 1, {_part('marks', 'g.a + 1', 'g.b - 1')}, cast(array() as array<int>))), ys -> flatten(transform(sequence(0, size(ys)), q -> {each})))[0]"
-    top = f"if(g.b < size(marks), array({span(f'greatest(p.a + 1, p.b - {w - 1})', 'p.b', 'p.b')}), cast(array() as {kind}))"
-    part = f"""transform(array(named_struct('a', coalesce(get(tops, t - 1), -1), 'b', coalesce(get(tops, t), size(marks)))), g ->
-      transform(array(named_struct('a', coalesce(shiftright(get(marks, g.a), 1), -1), 'b', coalesce(shiftright(get(marks, g.b), 1), size(w) - {n - w}))), p ->
-        concat(if(p.b - p.a > {w}, {gap}, cast(array() as {kind})), {top}))[0])[0]"""
-    gram = ", ".join(f"w[s.at + {j}]" for j in PICKED if j < k)
-    tiles = f"filter(flatten(transform(sequence(0, size(tops)), t -> {part})), s -> s.from <= s.to)"
-    # spans lie side by side; pieces: hashes of the words that they begin with, and of the words after the last
-    rest = f"if({n} > 1, array(xxhash64({_part('w', f'size(w) - {n - 1}', 'size(w) - 1')})), cast(array() as array<bigint>))"
-    pieces = f"concat(transform(tiles, s -> xxhash64({_part('w', 's.from', 's.to')})), {rest})"
-    steps = " ".join(f"when coalesce(get(tiles, j + {m}).to >= s.to + {n - 1}, true) then {m}" for m in (3, 4, 5, 6, 7, 8, 10, 13, 20) if m < n - 1)
-    reach = _part("pieces", "j", f"least(size(pieces) - 1, j + case {steps} else {n - 1} end)")
-    found = f"""transform(array({tiles}), tiles -> transform(array({pieces}), pieces -> transform(tiles, (s, j) ->
-      named_struct('from', s.from, 'to', s.to, 'fp', xxhash64({gram}), 'c', xxhash64({reach}))))[0])[0]"""
-    spans = F.expr(f"transform(array(words), w -> transform(array({marks}), marks -> transform(array({tops}), tops -> {found})[0])[0])[0]")
-    rows = keyed.select("d", "th", _words(F.col("text")).alias("words")).where(F.size("words") >= n).select("d", "th", spans.alias("s"))
-    # outer, as else the planner makes each array a second time to filter empty ones
-    return rows.select("d", "th", F.explode_outer("s").alias("s")).select("d", "th", "s.*").where("fp is not null")
+    # places of the pairs of the lower class where a gram fits, then the first place where none does
+    marks = f"concat(filter(sequence(0, size(w) - {k}), i -> ((w[i] ^ shiftright(get(w, i + 1), 8)) & {RARE - 1}) = 0), array(size(w) - {k - 1}))"
+    rows = keyed.select("d", "th", _hashes(F.col("text")).alias("words"))
+    # w is bound in a lambda: as a column it could be put in its place and then be made anew for each element
+    found = f"transform(array(words), w -> if(size(w) >= {n}, named_struct('words', w, 'marks', {marks}), null))[0]"
+    rows = rows.select("d", "th", F.expr(found).alias("u")).select("d", "th", "u.words", "u.marks")
+    # all that follows is compiled, as no expression with a lambda comes after; outer, as else the planner makes each array a second time to filter empty ones
+    rows = rows.select("d", "th", "words", "marks", F.posexplode_outer("marks").alias("j", "at")).where("at is not null")
+    rows = rows.select("d", "th", "words", "at", F.expr("if(j > 0, marks[j - 1], -1) + 1").alias("a"), F.expr(f"at - {w - 1}").alias("own"))
+    # windows from a that end before the mark have none and their own start; the last of these numbers is for the mark itself
+    rows = rows.select("d", "th", "words", "at", "a", "own", F.explode_outer(F.expr("if(own > a, sequence(a, own), array(own))")).alias("i"))
+    rows = rows.select(
+        "d", "th", "words", F.expr("greatest(a, i)").alias("from"), F.expr(f"if(i = own, least(at, size(words) - {n}), i)").alias("to"), F.expr("if(i = own, at, i)").alias("at")
+    ).where("from <= to")
+    gram = ", ".join(f"get(words, at + {j})" for j in PICKED if j < k)
+    return rows.select("d", "th", "from", "to", F.expr(f"xxhash64({gram})").alias("fp"), F.expr(f"xxhash64(slice(words, from + 1, to - from + {n}))").alias("c"))
 
 
 def _having(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -114,28 +111,27 @@ def _having(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th and ``runs``, an array of [from, to) word numbers to delete, of the rows that have any."""
     n, keyed = int(min_words), _keyed(docs).select("d", "th", "text")
+    at = _places(keyed)
     spans = save(_spans(keyed, n), "spans")
     often = save(spans.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "often", light=True)
     again = save(_having(spans, often), "again")
     discard(spans, often)
-    texts = again.groupBy("fp", "c").agg(F.min(_at("d", "from")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    texts = again.groupBy("fp", "c").agg(F.min(at("d", "from")).alias("x"), F.count(F.lit(1)).alias("copies"))
     firsts = save(texts, "texts", light=True)
     several = save(firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("fp", F.lit(True).alias("ask")), "several", light=True)
     texts = firsts.join(several.hint("merge"), "fp", "left").where("copies > 1 or ask").select("fp", "c", "x", F.coalesce("ask", F.lit(False)).alias("ask"))
-    later = _at("d", "from") > F.col("x")
+    later = at("d", "from") > F.col("x")
     kinds = save(texts, "kinds", light=True)
     found = again.join(kinds.hint("merge"), ["fp", "c"]).select("d", "th", "from", "to", later.alias("later"), "ask").where("later or ask")
     found = save(found, "found", light=True)
     discard(again, firsts, several, kinds)
     asked = save(found.where("not later").groupBy("d", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "asked", light=True)
-    each = F.expr(f"""
-        transform(array(words), w -> flatten(transform(spans, s -> transform(sequence(s.from, s.to),
-          i -> named_struct('pos', i, 'win', xxhash64({_part("w", "i", f"i + {n - 1}")}))))))[0]""")
-    rows = _having(keyed, asked.select("d", "th")).join(asked, ["d", "th"]).select("d", "th", "spans", _words(F.col("text")).alias("words"))
-    windows = save(rows.select("d", "th", F.explode_outer(each).alias("w")).select("d", "th", "w.*"), "windows")
-    first = windows.groupBy("win").agg(F.min(_at("d", "pos")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = _having(keyed, asked.select("d", "th")).join(asked.hint("merge"), ["d", "th"]).select("d", "th", "spans", _hashes(F.col("text")).alias("words"))
+    rows = rows.select("d", "th", "words", F.explode_outer("spans").alias("s")).select("d", "th", "words", F.explode_outer(F.expr("sequence(s.from, s.to)")).alias("pos"))
+    windows = save(rows.select("d", "th", "pos", F.expr(f"xxhash64(slice(words, pos + 1, {n}))").alias("win")), "windows")
+    first = windows.groupBy("win").agg(F.min(at("d", "pos")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = save(first, "first", light=True)
-    late = windows.join(first.hint("merge"), "win").where(_at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), F.col("pos").alias("to"))
+    late = windows.join(first.hint("merge"), "win").where(at("d", "pos") > F.col("x")).select("d", "th", F.col("pos").alias("from"), F.col("pos").alias("to"))
     gone = found.where("later").select("d", "th", "from", "to").unionAll(late).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("at"))
     runs = gone.select("d", "th", F.expr(f"""
         transform(array(at), p -> zip_with(
@@ -157,13 +153,21 @@ def _pieces(text: Column) -> Column:
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:
     """The keyed rows with ``runs`` (null: none) and ``kept``, what is left of the text."""
     keyed = _keyed(docs).drop("text")  # it is in the row; twice through the shuffle would be too much
-    joined = keyed.join(repeated_runs(docs, min_words), ["d", "th"], "left").withColumn("text", body("row.text"))
+    runs = repeated_runs(docs, min_words)
+    keys = runs.select("d", "th")
+    if keys.count() <= FEW:  # only texts with runs are shuffled
+        rest = keyed.join(F.broadcast(keys), ["d", "th"], "left_anti").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+        joined = keyed.join(F.broadcast(keys), ["d", "th"], "left_semi").join(runs.hint("merge"), ["d", "th"])
+    else:
+        rest, joined = None, keyed.join(runs.hint("merge"), ["d", "th"], "left")
+    joined = joined.withColumn("text", body("row.text"))
     # lead: whether the first piece is blank, so that word i is piece i + 1
     kept = F.expr("""transform(array(pieces), u -> transform(array(if(btrim(u[0], '{blank}') = '', 1, 0)), lead -> array_join(flatten(
         transform(sequence(0, size(runs)), j -> transform(array(named_struct('a', if(j = 0, 0, get(runs, j - 1).to + lead), 'b', coalesce(get(runs, j).from + lead, size(u)))), r ->
           if(r.b > r.a, {part}, cast(array() as array<string>)))[0])), ''))[0])[0]""".format(blank=_BLANK, part=_part("u", "r.a", "r.b - 1")))
     joined = joined.withColumn("pieces", F.when(F.col("runs").isNotNull(), _pieces(F.col("text"))))
-    return joined.select("row", "text", "runs", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+    joined = joined.select("row", "text", "runs", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+    return joined if rest is None else joined.unionAll(rest.select("row", body("row.text").alias("text"), "runs", body("row.text").alias("kept")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

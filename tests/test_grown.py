@@ -1,6 +1,7 @@
 """What larger tables brought up."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -192,3 +193,46 @@ def test_line_tables_go_when_read(spark):
     before = len(scratch._SCRATCH)
     assert lines.repeated_runs(docs).count() == 5
     assert [p.rsplit("/", 1)[1] for _, p in scratch._SCRATCH[before:]] == ["runs"]
+
+
+def without_repeats(rows, n):
+    """Words left of each text without the windows of n words that came before."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w, gone = t.split(), set()
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            if key in seen:
+                gone |= set(range(k, k + n))
+            seen.add(key)
+        if left := [x for k, x in enumerate(w) if k not in gone]:
+            out[i] = left
+    return out
+
+
+@pytest.mark.parametrize(("n", "ids"), [(2, (0, 1)), (13, (-7, 1 << 40)), (40, (0, 1))])
+def test_line_runs_of_any_length_and_ids(spark, n, ids):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(400)}" for _ in range(600)] + ["tick"] * 100
+    rows = []
+    for i in range(60):
+        a, b = rng.randrange(600), rng.randrange(600)
+        own = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(40))]
+        rows.append((ids[0] + i * ids[1], " ".join(base[a : a + rng.randrange(100)] + own + base[b : b + rng.randrange(100)]) or "x"))
+    got = {r.doc_id: r.text.split() for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), n).collect()}
+    assert got == without_repeats(rows, n)
+
+
+def test_line_hashes_compiled_and_texts_not_shuffled(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"start{i} {text} end{i}" if i < 6 else f"own {i}") for i in range(20)], "doc_id long, text string")
+    # a lambda would have them interpreted, word by word
+    spans = lines._spans(lines._keyed(docs), 40)._jdf.queryExecution().executedPlan().toString()
+    assert not any("xxhash64(slice(" in x and "lambda" in x for x in spans.splitlines()) and "xxhash64(slice(" in spans
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+        plan = lines.line_report(docs)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "LeftOuter" not in plan and "LeftAnti, BuildRight" in plan and "LeftSemi, BuildRight" in plan
