@@ -6,11 +6,11 @@ every run of ``min_words`` words or more that came before, wherever it starts
 and ends, and whatever else its parts occur in.
 
 Hashing every window would make a row of each word, so a window first gets a
-fingerprint: the leftmost of the ``GRAM``-word grams that start in it and are
-least by the hash of their first two words, where hashes are compared by class
-only (one in 16, one in 4, all others).  Equal windows have equal fingerprints, and neighbouring windows
-mostly share theirs: they are a span, which makes one row with a hash of all its
-words, made from hashes of the pieces that the document's spans divide it into.  A span whose words stand at an earlier place is deleted whole.  Where a
+fingerprint: the leftmost of the ``GRAM``-word grams that start in it with a pair
+of words of the lower class, which is one in ``RARE`` by hash; a window without
+one has its own first gram.  Equal windows have equal fingerprints, and
+neighbouring windows mostly share theirs: they are a span, which makes one row
+with a hash of all its words.  A span whose words stand at an earlier place is deleted whole.  Where a
 fingerprint has spans with different words, windows may be equal though spans
 aren't, as at the ends of a repeated run: of such spans' first occurrences the
 windows are hashed themselves, and joined to their own first occurrence.  Two
